@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing
+from tesserae.llm import bpe, packing, quality_model, warc
 from tesserae.llm import quality_rules as rules
 from tesserae.llm.common import table
 
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
     return bpe.bpe_decode(encoded, tokenizer_path()).select(
@@ -30,13 +35,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op6_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_warc, op5_bpe, op6_packing, op8_quality_classifier, op9_quality_rules)}
 
 
 _OP9 = r"""
@@ -62,5 +71,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS g FROM p),
+f AS (SELECT g, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY g)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.g AS payload_digest,
+       CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON d.g = f.g AND d.n >= 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": _OP9}
+    return {"op4_warc": _OP4, "op9_quality_rules": _OP9}
