@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, quality_model, warc
+from tesserae.llm import bpe, packing, quality_model, warc, webp
 from tesserae.llm import quality_rules as rules
 from tesserae.llm.common import table
 
@@ -44,8 +44,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_features(webp.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc, op5_bpe, op6_packing, op8_quality_classifier, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_warc, op5_bpe, op6_packing, op8_quality_classifier, op9_quality_rules, op10_media_columns)}
 
 
 _OP9 = r"""
