@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import text_of
 
 #: Words kept by a partition's summary of counts, and pieces a worker remembers.
-SUMMARY_WORDS = 200_000
-REMEMBERED = 1_000_000
+SUMMARY_WORDS = 100_000
+REMEMBERED = 400_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _ODD_SPACE = re.compile(r"\s ")
 
