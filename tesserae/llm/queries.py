@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, line_dedup, near_dedup, packing, quality_model, warc, webp
+from tesserae.llm import bpe, licences, line_dedup, near_dedup, packing, quality_model, warc, webp
 from tesserae.llm import quality_rules as rules
 from tesserae.llm.common import table
 
@@ -23,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents", "doc_id", "text")).drop("row")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,7 +62,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_warc, op5_bpe, op6_packing, op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_licence_scan, op4_warc, op5_bpe, op6_packing, op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns)}
 
 
 _OP9 = r"""
