@@ -24,8 +24,10 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tesserae.llm.common import own_name, text_of
 
@@ -203,18 +205,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """All columns of docs and the score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row, text = own_name(docs, "_row"), own_name(docs, "_text")
-    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
+    place = docs.columns.index(text_col)
 
-    def rate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for pdf in batches:
-            scores = model.score(measure_all(pdf[text])) if model else np.ones(len(pdf))
-            yield pd.DataFrame({row: pdf[row], out_col: scores})
+        for batch in batches:
+            x = measure_all(t or "" for t in batch.column(place).to_pylist())
+            scores = model.score(x) if model else np.ones(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col])
 
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), text_of(docs, text_col).alias(text))
-    rated = packed.mapInPandas(rate, f"`{row}` struct<{kinds}>, `{out_col}` double")
-    return rated.select(*[F.col(row)[c].alias(c) for c in docs.columns], out_col)
+    return docs.mapInArrow(rate, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, licences, line_dedup, near_dedup, packing, quality_model, warc, webp
+from tesserae.llm import bpe, html_text, licences, line_dedup, near_dedup, packing, quality_model, warc, webp
 from tesserae.llm import quality_rules as rules
 from tesserae.llm.common import table
 
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.drop_duplicate_lines(table(spark, sf_dir, "documents", "doc_id", "text"), removed="n_removed")
     return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -61,8 +66,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(webp.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_licence_scan, op4_warc, op5_bpe, op6_packing, op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns)}
+    each = (
+        op1_html_extraction, op2_line_dedup, op3_licence_scan, op4_warc, op5_bpe, op6_packing,
+        op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns, pipeline,
+    )
+    return {f.__name__: f for f in each}
 
 
 _OP9 = r"""
