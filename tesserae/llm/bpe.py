@@ -33,11 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import slices, text_of
 
 #: Words kept by a partition's summary of counts, and pieces a worker remembers.
 SUMMARY_WORDS = 100_000
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _ODD_SPACE = re.compile(r"\s ")
 
@@ -263,7 +263,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer_path, shared.value)
-        for pdf in batches:
+        for pdf in slices(batches):
             ids = [encoder.encode(t) for t in pdf["t"]]
             yield pd.DataFrame({"i": pdf["i"], "ids": ids, "n": [len(x) // 4 for x in ids]})
 
@@ -277,7 +277,7 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
 
     def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token = vocabulary(tokenizer_path).token_bytes.__getitem__
-        for pdf in batches:
+        for pdf in slices(batches):
             text = [b"".join(map(token, memoryview(x).cast("I"))).decode("utf-8", "replace") for x in pdf["ids"]]
             yield pdf.assign(text=text)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def slices(batches: Iterable[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches in smaller parts, so that what is made of one part at a time stays small."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
