@@ -242,7 +242,8 @@ def frequent_words(docs: DataFrame, n: int, text_col: str = "text") -> list[str]
                 if len(seen) > 2 * SUMMARY_WORDS:
                     seen = Counter(dict(heapq.nlargest(SUMMARY_WORDS, seen.items(), key=lambda x: x[1])))
         top = heapq.nlargest(n, seen.items(), key=lambda x: x[1])
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [c for _, c in top]})
+        if top:
+            yield pd.DataFrame(top, columns=["word", "n"])
 
     sums = docs.select(text_of(docs, text_col).alias("t")).mapInPandas(count, "word string, n long")
     sums = sums.filter(F.length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n"))
