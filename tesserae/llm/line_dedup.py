@@ -21,11 +21,10 @@ other columns come back as they were.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,38 +32,94 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import own_name, staged, text_of
 
 MIN_WORDS, MIN_NEAR = 5, 8
-FEW = 3
+FEW, TOP_LEVEL = 3, 8
 FILTER_BITS = 26
-_LEVEL = np.array([(b & -b).bit_length() - 1 if b else 8 for b in range(256)], "u1")
-_hash = xxhash.xxh3_64_intdigest
+SLICE = 256
+_LEVEL = np.array([(b & -b).bit_length() - 1 if b else TOP_LEVEL for b in range(256)], "u1")
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+_MUL, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
-def _signed(value: int) -> int:
-    return value - (value >> 63 << 64)
+def _mixed(x: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
+    for y in more:
+        x = (x ^ np.asarray(y).astype("u8")) * _MUL
+        x = x ^ (x >> _SHIFT)
+    return x
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
 
 
-def sample_keys(words: list[bytes], levels: bytes) -> list[int]:
-    """Keys of the deletion neighbourhoods of a line's samples; words are given by their hashes' bytes."""
-    n, keys = len(words), []
-    level = sorted(levels, reverse=True)[FEW - 1]
-    while True:
-        kept = [w for w, x in zip(words, levels, strict=True) if x >= level]
-        whole, less = struct.pack("<IB", n, level), struct.pack("<IB", n - 1, level)
-        full = b"".join(kept)
-        keys += [_hash(whole + full), _hash(less + full)]
-        keys += [_hash(less + full[: 8 * i] + full[8 * i + 8 :]) for i in range(len(kept))]
-        if len(kept) > FEW or not level:
-            return [_signed(k) for k in set(keys)]
-        level -= 1
+def _powers(n: int) -> np.ndarray:
+    out = np.ones(n, "u8")
+    if n > 1:
+        out[1:] = np.multiply.accumulate(np.full(n - 1, _BASE, "u8"))
+    return out
+
+
+def deletions(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences end to end: each one's hash, and for each element the hash of its sequence without it.
+
+    A hash is a sum of elements times powers of an odd base, modulo 2 ** 64; leaving one out divides
+    what follows it by the base.
+    """
+    ends = _ends(counts)
+    place = np.arange(len(hashes)) - np.repeat(ends[:-1], counts)
+    terms = hashes * _powers(int(counts.max(initial=0)))[place]
+    run = np.concatenate([np.zeros(1, "u8"), np.cumsum(terms, dtype="u8")])
+    whole = run[ends[1:]] - run[ends[:-1]]
+    before = run[:-1] - np.repeat(run[ends[:-1]], counts)
+    after = np.repeat(whole, counts) - before - terms
+    return whole, before + after * _BASE_INVERSE
+
+
+def word_hashes(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(x) for x in lines], "i8")
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, (w for x in lines for w in x)), "u8", int(counts.sum())), counts
+
+
+def sample_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Line numbers and keys of the deletion neighbourhoods of the lines' samples."""
+    hashes, counts = word_hashes(lines)
+    levels = _LEVEL[(hashes & np.uint64(255)).astype("i8")]
+    starts, owner = _ends(counts)[:-1], np.repeat(np.arange(len(lines)), counts)
+    out_lines, out_keys = [], []
+    going = np.zeros(len(lines), bool)  # has begun: a level with FEW words or more
+    over = np.zeros(len(lines), bool)
+    for level in range(TOP_LEVEL, -1, -1):
+        n = np.add.reduceat((levels >= level).astype("i8"), starts) if len(lines) else np.zeros(0, "i8")
+        going |= n >= FEW
+        here = going & ~over
+        over |= here & (n > FEW)
+        word = here[owner] & (levels >= level)
+        who = np.flatnonzero(here)
+        if not len(who):
+            continue
+        whole, less = deletions(hashes[word], n[who])
+        length, each = counts[who], np.repeat(who, n[who])
+        out_lines += [who, who, each]
+        out_keys += [_mixed(whole, length, level), _mixed(whole, length - 1, level), _mixed(less, counts[each] - 1, level)]
+    if not out_lines:
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    both = np.unique(np.stack([np.concatenate(out_lines).astype("u8"), np.concatenate(out_keys)], 1), axis=0)
+    return both[:, 0].astype("i8"), both[:, 1].view("i8") if both.flags.f_contiguous else np.ascontiguousarray(both[:, 1]).view("i8")
 
 
 def line_hash(words: list[bytes]) -> int:
-    return _signed(_hash(b" ".join(words)))
+    value = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return value - (value >> 63 << 64)
 
 
-def variants(words: list[bytes]) -> list[int]:
-    """Hashes of the line and of all lines with one word less."""
-    return [line_hash(words), *{line_hash(words[:i] + words[i + 1 :]) for i in range(len(words))}]
+def variants(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Line numbers and hashes of the lines and of all lines with one word less."""
+    hashes, counts = word_hashes(lines)
+    whole, less = deletions(hashes, counts)
+    who = np.arange(len(lines))
+    number = np.concatenate([who, np.repeat(who, counts)])
+    value = np.concatenate([_mixed(whole, counts), _mixed(less, np.repeat(counts, counts) - 1)])
+    return number, value.view("i8")
 
 
 def match(a: list[str], b: list[str]) -> bool:
@@ -86,105 +141,191 @@ def match(a: list[str], b: list[str]) -> bool:
     return longer[1:] == shorter or longer[:-1] == shorter
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(d, th, line, h, keys): every line that is compared."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _slices(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+    for k in range(0, batch.num_rows, SLICE):
+        yield batch.slice(k, SLICE).to_pylist()
+
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, th, text in zip(pdf["d"], pdf["th"], pdf["t"], strict=True):
-                for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    words = line.split()
-                    n = len(words)
-                    if n < MIN_WORDS:
-                        continue
-                    keys = None
-                    if n >= MIN_NEAR:
-                        hashes = np.fromiter(map(_hash, words), "<u8", n)
-                        raw = hashes.tobytes()
-                        keys = sample_keys([raw[i : i + 8] for i in range(0, 8 * n, 8)], _LEVEL[hashes & np.uint64(255)].tobytes())
-                    out.append((d, th, k, line_hash(words), keys))
-            yield pd.DataFrame(out, columns=["d", "th", "line", "h", "keys"])
+def _lists(numbers: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """values grouped by ascending number, a list each for 0 ... n - 1."""
+    order = np.argsort(numbers, kind="stable")
+    offsets = np.searchsorted(numbers[order], np.arange(n + 1)).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
 
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(d, th, line, h, keys): every line that is compared; keys are empty for lines that are too short to be near another."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("d"), text_of(docs).alias("t")).withColumn("th", F.xxhash64("t"))
-    return staged(rows.mapInPandas(cut, f"d {kind}, th long, line int, h long, keys array<long>"), "lines")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("d").type
+            for part in _slices(batch):
+                d, th, number, h, words = [], [], [], [], []
+                for r in part:
+                    for k, line in enumerate(r["t"].encode("utf-8", "surrogatepass").split(b"\n")):
+                        w = line.split()
+                        if len(w) >= MIN_WORDS:
+                            d.append(r["d"])
+                            th.append(r["th"])
+                            number.append(k)
+                            h.append(line_hash(w))
+                            words.append(w)
+                long = np.array([i for i, w in enumerate(words) if len(w) >= MIN_NEAR], "i8")
+                who, keys = sample_keys([words[i] for i in long])
+                columns = [pa.array(d, kind), pa.array(th, pa.int64()), pa.array(number, pa.int32()), pa.array(h, pa.int64()), _lists(long[who] if len(who) else who, keys, len(words))]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "line", "h", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return staged(rows.mapInArrow(cut, f"d {kind}, th long, line int, h long, keys array<long>"), "lines")
 
 
 def _place() -> Column:
     return F.struct("d", "line")
 
 
+def _bits(values: DataFrame, column: str, size: int) -> np.ndarray:
+    """A table of size bits with those at the column's values modulo size set; size / 32 rows at most come to the driver."""
+    at = values.select(F.pmod(F.col(column), F.lit(size)).alias("b")).selectExpr("cast(shiftright(b, 5) as int) as w", "shiftleft(1L, cast(b & 31 as int)) as m")
+    rows = at.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    table = np.zeros(size >> 5, "u4")
+    table[rows["w"].to_numpy()] = rows["m"].to_numpy().astype("u4")
+    return table
+
+
+def _set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 5] >> (at & 31).astype("u4") & 1).astype(bool)
+
+
+def _maybe_shared(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """(k, h) of keys that the bit table of shared keys (k) holds: all shared ones and few others, while the table isn't full."""
+    size = 1 << FILTER_BITS
+    table = lines.sparkSession.sparkContext.broadcast(_bits(shared, "k", size))
+
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy()
+            counts = np.diff(lists.offsets.to_numpy())
+            hit = _set(table.value, keys % size)
+            h = np.repeat(batch.column("h").to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(h[hit])], names=["k", "h"])
+
+    return lines.filter("size(keys) > 0").select("h", "keys").mapInArrow(some, "k long, h long")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, p, text, vs) of the wanted lines (h, p): their words and the hashes of their variants.
+    """(o, h, text) of the wanted lines (o, h, d, line), by their words; o is their order.
 
     A bit table of fixed size over the lines' places keeps most other lines from being hashed.
     """
     size = 1 << FILTER_BITS
-    bit = F.expr(f"pmod(xxhash64(p.d) + 7919L * p.line, {size}L)")
-    table = wanted.select(bit.alias("b")).selectExpr("cast(shiftright(b, 5) as int) as w", "shiftleft(1L, cast(b & 31 as int)) as m")
-    table = table.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # 2 ** 21 rows at most
-    bits = np.zeros(size >> 5, "u4")
-    bits[table["w"].to_numpy("i8")] = table["m"].to_numpy("u8").astype("u4")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    table = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.expr("xxhash64(d) + 7919L * line").alias("p")), "p", size))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        for pdf in batches:
-            out = []
-            for d, hd, text in zip(pdf["d"], pdf["hd"], pdf["t"], strict=True):
-                lines = text.split("\n")
-                at = (hd + 7919 * np.arange(len(lines))) % size
-                for k in np.flatnonzero(bits[at >> 5] >> (at & 31).astype("u4") & 1).tolist():
-                    words = lines[k].encode("utf-8", "surrogatepass").split()
-                    if len(words) >= MIN_NEAR:
-                        out.append((d, k, line_hash(words), b" ".join(words).decode("utf-8", "replace"), variants(words)))
-            yield pd.DataFrame(out, columns=["d", "line", "h", "text", "vs"])
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("d").type
+            for part in _slices(batch):
+                d, number, h, words = [], [], [], []
+                for r in part:
+                    lines = r["t"].split("\n")
+                    with np.errstate(over="ignore"):
+                        at = (np.int64(r["hd"]) + 7919 * np.arange(len(lines))) % size
+                    for k in np.flatnonzero(_set(table.value, at)).tolist():
+                        w = lines[k].encode("utf-8", "surrogatepass").split()
+                        if len(w) >= MIN_NEAR:
+                            d.append(r["d"])
+                            number.append(k)
+                            h.append(line_hash(w))
+                            words.append(w)
+                text = [b" ".join(w).decode("utf-8", "replace") for w in words]
+                columns = [pa.array(d, kind), pa.array(number, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "line", "h", "text"])
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.expr("xxhash64(doc_id)").alias("hd"), text_of(docs).alias("t"))
+    found = rows.mapInArrow(cut, f"d {kind}, line int, h long, text string")
+    return found.join(wanted, ["h", "d", "line"]).select("o", "h", "text").dropDuplicates(["o"])
+
+
+def _variants(texts: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """(v, o) of all variants; with shared (v), those that its bit table holds."""
+    size = 1 << FILTER_BITS
+    table = texts.sparkSession.sparkContext.broadcast(None if shared is None else _bits(shared, "v", size))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 8 * SLICE):
+                part = batch.slice(k, 8 * SLICE)
+                number, value = variants([t.encode("utf-8", "surrogatepass").split(b" ") for t in part.column("text").to_pylist()])
+                if table.value is not None:
+                    hit = _set(table.value, value % size)
+                    number, value = number[hit], value[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(part.column("o").to_numpy()[number])], names=["v", "o"])
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.expr(f"pmod(xxhash64(doc_id), {size}L)").alias("hd"), text_of(docs).alias("t"))
-    found = rows.mapInPandas(cut, f"d {kind}, line int, h long, text string, vs array<long>")
-    return found.select("h", _place().alias("p"), "text", "vs").join(wanted, ["h", "p"], "left_semi").dropDuplicates(["h"])
+    return texts.select("o", "text").mapInArrow(cut, "v long, o long")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line): the lines that go, th being xxhash64 of the document's text."""
     lines = _lines(docs)
-    firsts = lines.groupBy("h").agg(F.min(_place()).alias("p"), F.max(_place()).alias("last"))
-    firsts = staged(firsts, "first-lines")
+    firsts = staged(lines.groupBy("h").agg(F.min(_place()).alias("p"), F.max(_place()).alias("last")), "first-lines")
     keyed = lines.select(F.explode("keys").alias("k"), "h")
-    shared = keyed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k")
-    wanted = keyed.join(shared, "k", "left_semi").select("h").distinct()
-    wanted = staged(firsts.select("h", "p").join(wanted, "h", "left_semi"), "near-lines")
+    shared = staged(keyed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k"), "shared-keys")
+    wanted = _maybe_shared(lines, shared).join(shared, "k", "left_semi").select("h").distinct()
+    # Numbers that rise with the place stand for it from here on: they are narrow and ordered.
+    ordered = firsts.join(wanted, "h", "left_semi").select("h", "p.*").orderBy("d", "line").withColumn("o", F.monotonically_increasing_id())
+    wanted = staged(ordered, "near-lines")
     texts = staged(_texts(docs, wanted), "near-texts")
-    by_variant = texts.select("h", "p", F.explode("vs").alias("v"))
-    earliest = by_variant.groupBy("v").agg(F.min(F.struct("p", "h")).alias("e"), F.max("p").alias("l")).filter("e.p < l").select("v", "e")
-    pairs = by_variant.join(earliest, "v").filter("e.p < p").groupBy("h").agg(F.min("e").alias("e"))
-    pairs = pairs.select("h", F.col("e.h").alias("g"), F.col("e.p").alias("ep"))
-    both = pairs.join(texts.select("h", "text"), "h").join(texts.select(F.col("h").alias("g"), F.col("text").alias("other")), "g")
-
-    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit = [match(x.split(" "), y.split(" ")) for x, y in zip(pdf["text"], pdf["other"], strict=True)]
-            yield pdf.loc[np.array(hit, bool), ["h", "ep"]]
-
-    place = texts.schema["p"].dataType.simpleString()
-    near = both.select("h", "ep", "text", "other").mapInPandas(verify, f"h long, ep {place}")
+    earliest = _variants(texts).groupBy("v").agg(F.min("o").alias("e"), F.max("o").alias("l")).filter("e < l").select("v", "e")
+    earliest = staged(earliest, "earliest")
+    pairs = _variants(texts, earliest).join(earliest, "v").filter("e < o").groupBy("o").agg(F.min("e").alias("e"))
+    both = pairs.join(texts.select("o", "h", "text"), "o").join(texts.select(F.col("o").alias("e"), F.col("text").alias("other")), "e")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("text").to_pylist(), batch.column("other").to_pylist(), strict=True)
+            hit = pa.array([match(x.split(" "), y.split(" ")) for x, y in sides], pa.bool_())
+            yield batch.select(["h", "e"]).filter(hit)
+
+    near = both.select("h", "e", "text", "other").mapInArrow(verify, "h long, e long")
+    near = near.join(wanted.select(F.col("o").alias("e"), _place().alias("ep")), "e").select("h", "ep")
     limits = firsts.join(near, "h", "left").select("h", F.least("p", F.coalesce("ep", "p")).alias("limit"), "last").filter("last > limit").select("h", "limit")
     return lines.select("d", "th", "line", "h").join(limits, "h").filter(_place() > F.col("limit")).select(F.col("d").alias("doc_id"), "th", "line")
 
 
+def _split(docs: DataFrame, lists: DataFrame, th: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that surely lose no line, which need no shuffle, and the rest, by a bit table over (doc_id, th)."""
+    size = 1 << FILTER_BITS
+    at = "xxhash64(doc_id, `{}`)"
+    table = docs.sparkSession.sparkContext.broadcast(_bits(lists.select(F.expr(at.format("th")).alias("p")), "p", size))
+    name = own_name(docs, "_at")
+    marked = docs.withColumn(name, F.expr(at.format(th)))
+
+    def part(wanted: bool) -> DataFrame:
+        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = _set(table.value, batch.column(name).to_numpy() % size)
+                yield batch.filter(pa.array(hit if wanted else ~hit))
+
+        return marked.mapInArrow(keep, marked.schema).drop(name)
+
+    return part(False), part(True)
+
+
 def drop_duplicate_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """docs with the earlier-seen lines taken out of text; removed names a column for their number."""
     th, gone = own_name(docs, "_th"), own_name(docs, "_gone")
-    lists = duplicate_lines(docs).groupBy("doc_id", F.col("th").alias(th)).agg(F.collect_set("line").alias(gone))  # a document's own lines
-    joined = docs.withColumn(th, F.xxhash64(text_of(docs))).join(lists, ["doc_id", th], "left")
+    lists = duplicate_lines(docs).groupBy("doc_id", "th").agg(F.collect_set("line").alias(gone))  # a document's own lines
+    lists = staged(lists, "gone-lines")
+    whole, changed = _split(docs.withColumn(th, F.xxhash64(text_of(docs))), lists, th)
+    joined = changed.join(lists.withColumnRenamed("th", th), ["doc_id", th], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     columns = [new[c].alias(c) if c in new else F.col(c) for c in docs.columns]
-    if removed:
-        columns.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))
-    return joined.select(columns)
+    count = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    more = lambda c: [c.alias(removed)] if removed else []
+    return whole.select(*docs.columns, *more(F.lit(0).cast("long"))).unionByName(joined.select(*columns, *more(count)))
