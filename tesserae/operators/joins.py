@@ -156,13 +156,15 @@ def cascade(wanted: DataFrame, key: str, steps: list[tuple[str, DataFrame]]) ->
 
     Rows: key, answer, how, others (further answers of that step, in order). Keys without answer have nulls.
     """
-    left, out = wanted.select(key), None
-    for how, answers in steps:
-        ranked = answers.join(left, key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("order", "answer"))).alias("_a"))
-        found = ranked.select(key, F.get("_a", F.lit(0))["answer"].alias("answer"), F.lit(how).alias("how"), F.transform(F.slice("_a", 2, 2), lambda a: a["answer"]).alias("others"))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
-    return wanted.select(key).distinct().join(out, key, "left")
+    every = None
+    for n, (how, answers) in enumerate(steps):
+        step = answers.select(key, "answer", F.col("order").cast("string").alias("order"), F.lit(n).alias("_n"), F.lit(how).alias("how"))
+        every = step if every is None else every.unionByName(step)
+    ranked = every.groupBy(key, "_n", "how").agg(F.sort_array(F.collect_set(F.struct("order", "answer"))).alias("_a"))
+    best = ranked.groupBy(key).agg(F.min_by(F.struct("how", "_a"), "_n").alias("_b"))
+    answers = F.col("_b._a")
+    found = best.select(key, F.get(answers, F.lit(0))["answer"].alias("answer"), F.col("_b.how").alias("how"), F.transform(F.slice(answers, 2, 2), lambda a: a["answer"]).alias("others"))
+    return wanted.select(key).distinct().join(found, key, "left")
 
 
 def latest(corrections: DataFrame, on: list[str], order: str) -> DataFrame:
