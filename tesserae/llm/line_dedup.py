@@ -22,6 +22,7 @@ other columns come back as they were.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def deletions(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in lines], "i8")
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, (w for x in lines for w in x)), "u8", int(counts.sum())), counts
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), "u8", int(counts.sum())), counts
 
 
 def sample_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +90,8 @@ def sample_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     going = np.zeros(len(lines), bool)  # has begun: a level with FEW words or more
     over = np.zeros(len(lines), bool)
     for level in range(TOP_LEVEL, -1, -1):
+        if over.all():
+            break
         n = np.add.reduceat((levels >= level).astype("i8"), starts) if len(lines) else np.zeros(0, "i8")
         going |= n >= FEW
         here = going & ~over
@@ -103,8 +106,7 @@ def sample_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         out_keys += [_mixed(whole, length, level), _mixed(whole, length - 1, level), _mixed(less, counts[each] - 1, level)]
     if not out_lines:
         return np.zeros(0, "i8"), np.zeros(0, "i8")
-    both = np.unique(np.stack([np.concatenate(out_lines).astype("u8"), np.concatenate(out_keys)], 1), axis=0)
-    return both[:, 0].astype("i8"), both[:, 1].view("i8") if both.flags.f_contiguous else np.ascontiguousarray(both[:, 1]).view("i8")
+    return np.concatenate(out_lines), np.concatenate(out_keys).view("i8")
 
 
 def line_hash(words: list[bytes]) -> int:
