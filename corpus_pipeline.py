@@ -13,6 +13,8 @@ from tesserae.llm import line_dedup, near_dedup, packing, quality_model, quality
 from tesserae.llm.common import staged, table
 from tesserae.llm.queries import tokenizer_path
 
+NEAR_PERCENT = 80
+
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' policy rejects go."""
@@ -32,8 +34,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near-duplicates stays; five-word shingles, similarity of 0.8 or more."""
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

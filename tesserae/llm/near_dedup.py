@@ -2,19 +2,19 @@
 
 1. Every text gets its set of five-word shingles, a fingerprint of that set and a MinHash
    signature. Texts with equal sets are one class from there on.
-2. The forest has ``TREES`` orders. In each, classes are sorted by their own ``DEPTH`` signature
-   values; the sort is by range over (values, class), so a crowded region spreads over partitions.
+2. The forest has a number of orders that follows from the similarity asked for (``Rule``). In
+   each, classes are sorted by their own ``DEPTH`` signature values; the sort is by range over (values, class), so a crowded region spreads over partitions.
    Candidates of a class are its neighbour with the longest common prefix and the heads of its
    regions at depths ``BASE_DEPTH`` to ``DEPTH``: crowded regions are thus split deeper, and
    no region emits more than a few pairs a class.
-3. Candidates whose whole signatures agree on less than ``LEAST_AGREEMENT`` go. The rest connects
+3. Candidates whose whole signatures agree on fewer than the rule's ``least`` values go. The rest connects
    classes into families. All pairs inside a family are weighed, whether they met in the forest or
    not: a family of bounded size inside one task, a larger one by a hub that most of it links to,
    then blocks of what the hub misses against blocks of the whole. Links are confirmed on full sets.
 4. Components of links give the smallest doc_id that can be reached.
 
-A pair at the threshold misses all ``TREES`` prefixes of ``BASE_DEPTH`` with a chance of 7e-6, and
-agrees on too few values with a chance of 2e-5.
+A pair at the threshold misses all prefixes of ``BASE_DEPTH`` with a chance of ``MISSED`` at most, and
+agrees on too few values with a chance of ``UNLIKE`` at most, whatever the threshold.
 
 Defined results: a null, empty or blank text has no shingles and is its own component; rows with a
 null doc_id get the component of their text, if others share it; repeated rows get repeated results;
@@ -24,7 +24,10 @@ two texts under one doc_id are two nodes; empty tables give empty results; other
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,16 +40,44 @@ from tesserae.llm.components import components
 
 SHINGLE = 5
 LINK_PERCENT = 85
-TREES, DEPTH, BASE_DEPTH = 16, 6, 4
-VALUES = TREES * DEPTH
-LEAST_AGREEMENT = 0.70
+DEPTH, BASE_DEPTH = 6, 4
+MISSED, UNLIKE = 7.5e-6, 2e-5
 FAMILY_CLASSES, FAMILY_SHINGLES, BLOCK = 1_500, 3_000_000, 500
 FILTER_BITS = 24
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
-_random = np.random.RandomState(20)
-_FACTORS = _random.randint(0, 2**63, VALUES, dtype="u8") | np.uint64(1)
-_OFFSETS = _random.randint(0, 2**63, VALUES, dtype="u8")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What links two sets, and the forest that finds such pairs."""
+
+    percent: int = LINK_PERCENT
+
+    @cached_property
+    def trees(self) -> int:
+        return max(1, math.ceil(math.log(MISSED) / math.log1p(-((self.percent / 100) ** BASE_DEPTH)))) if self.percent < 100 else 1
+
+    @property
+    def values(self) -> int:
+        return self.trees * DEPTH
+
+    @cached_property
+    def least(self) -> int:
+        """The most values that a pair at the threshold agrees on with a chance of 1 - UNLIKE."""
+        s, below, count = self.percent / 100, 0.0, 0
+        while count < self.values:
+            below += math.comb(self.values, count) * s**count * (1 - s) ** (self.values - count)
+            if below > UNLIKE:
+                break
+            count += 1
+        return count
+
+    @cached_property
+    def hashing(self) -> tuple[np.ndarray, np.ndarray]:
+        """Factors and offsets of the signature's values."""
+        random = np.random.RandomState(20)
+        return random.randint(0, 2**63, self.values, dtype="u8") | np.uint64(1), random.randint(0, 2**63, self.values, dtype="u8")
 
 
 # --------------------------------------------------------------------------- one text
@@ -66,19 +97,20 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """VALUES minima of 32-bit hashes."""
-    least = np.full(VALUES, 2**32 - 1, "u8")
+def signature(hashes: np.ndarray, rule: Rule) -> np.ndarray:
+    """Minima of 32-bit hashes, as many as the rule's values."""
+    factors, offsets = rule.hashing
+    least = np.full(rule.values, 2**32 - 1, "u8")
     for k in range(0, len(hashes), 2048):
         part = hashes[k : k + 2048]
-        np.minimum(least, ((part[None] * _FACTORS[:, None] + _OFFSETS[:, None]) >> _MIX).min(1), out=least)
+        np.minimum(least, ((part[None] * factors[:, None] + offsets[:, None]) >> _MIX).min(1), out=least)
     return least.astype("u4")
 
 
 def prefix_keys(sig: np.ndarray) -> np.ndarray:
     """Keys of each tree's prefixes, from BASE_DEPTH to DEPTH: trees x depths."""
-    values = sig.reshape(TREES, DEPTH).astype("u8")
-    key, out = np.arange(TREES, dtype="u8"), []
+    values = sig.reshape(-1, DEPTH).astype("u8")
+    key, out = np.arange(len(values), dtype="u8"), []
     for d in range(DEPTH):
         key = (key ^ values[:, d]) * _MUL
         key ^= key >> _MIX
@@ -87,14 +119,14 @@ def prefix_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).view("i8")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 |a and b| >= LINK_PERCENT |a or b|, on sorted sets."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 |a and b| >= percent |a or b|, on sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < LINK_PERCENT * len(large) or not len(small):
+    if 100 * len(small) < percent * len(large) or not len(small):
         return False
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
-    return 100 * both >= LINK_PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 class Forest:
@@ -114,17 +146,17 @@ class Forest:
         return i != j
 
 
-def links(sets: list[np.ndarray], sigs: np.ndarray, left: range, right: range) -> Iterator[tuple[int, int]]:
+def links(sets: list[np.ndarray], sigs: np.ndarray, left: range, right: range, rule: Rule) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between left and right places: pairs already connected aren't weighed again."""
     forest = Forest(len(sets))
     sizes = np.array([len(s) for s in sets])
     lo, hi = right.start, right.stop
     for i in left:
-        near = (sigs[lo:hi] == sigs[i]).mean(1)
-        fit = (near >= LEAST_AGREEMENT) & (100 * np.minimum(sizes[lo:hi], sizes[i]) >= LINK_PERCENT * np.maximum(sizes[lo:hi], sizes[i]))
+        near = (sigs[lo:hi] == sigs[i]).sum(1)
+        fit = (near >= rule.least) & (100 * np.minimum(sizes[lo:hi], sizes[i]) >= rule.percent * np.maximum(sizes[lo:hi], sizes[i]))
         found = np.flatnonzero(fit)
         for j in (found[np.argsort(-near[found], kind="stable")] + lo).tolist():
-            if j != i and forest.find(i) != forest.find(j) and linked(sets[i], sets[j]):
+            if j != i and forest.find(i) != forest.find(j) and linked(sets[i], sets[j], rule.percent):
                 forest.union(i, j)
                 yield i, j
 
@@ -132,7 +164,7 @@ def links(sets: list[np.ndarray], sigs: np.ndarray, left: range, right: range) -
 # --------------------------------------------------------------------------- on DataFrames
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """i, cls (the set's fingerprint; null without words), n, keys, sig (a byte per value)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -144,7 +176,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not len(s):
                     out.append((i, None, 0, None, None))
                     continue
-                sig = signature(s)
+                sig = signature(s, rule)
                 cls = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                 out.append((i, cls, len(s), prefix_keys(sig).ravel(), sig.astype("u1").tobytes()))
             frame = pd.DataFrame(out, columns=["i", "cls", "n", "keys", "sig"])
@@ -154,10 +186,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(rows.mapInPandas(sign, f"i {kind}, cls long, n long, keys array<long>, sig binary"), "signed")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b), a < b, of neighbours and region heads in the sorted orders."""
     depths = DEPTH - BASE_DEPTH + 1
-    starts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * depths + 1, depths))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(rule.trees - 1)), lambda t: F.slice("keys", t * depths + 1, depths))
     rows = classes.select("cls", F.explode(starts).alias("k")).select(*[F.get("k", F.lit(d)).alias(f"k{d}") for d in range(depths)], "cls")
     order = [f"k{d}" for d in range(depths)] + ["cls"]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -191,13 +223,13 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return spread.mapInPandas(meet, "a long, b long").distinct()
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     sig = lambda name: classes.select(F.col("cls").alias(name), F.col("sig").alias(f"s{name}"))
 
     def agree(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, y = (np.frombuffer(b"".join(pdf[c]), "u1").reshape(-1, VALUES) for c in ("sa", "sb"))
-            yield pdf.loc[(x == y).mean(1) >= LEAST_AGREEMENT, ["a", "b"]]
+            x, y = (np.frombuffer(b"".join(pdf[c]), "u1").reshape(-1, rule.values) for c in ("sa", "sb"))
+            yield pdf.loc[(x == y).sum(1) >= rule.least, ["a", "b"]]
 
     return pairs.join(sig("a"), "a").join(sig("b"), "b").mapInPandas(agree, "a long, b long")
 
@@ -254,20 +286,20 @@ def _grouped(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
-def _weigh(pdf: pd.DataFrame, left: int | None = None) -> pd.DataFrame:
+def _weigh(pdf: pd.DataFrame, rule: Rule, left: int | None = None) -> pd.DataFrame:
     """Links among the rows, or of the first ``left`` rows with all."""
     sets = [np.frombuffer(s, "u8") for s in pdf["set"]]
-    sigs = np.frombuffer(b"".join(pdf["sig"]), "u1").reshape(-1, VALUES)
+    sigs = np.frombuffer(b"".join(pdf["sig"]), "u1").reshape(-1, rule.values)
     cls, n = pdf["cls"].to_numpy(), len(pdf)
-    found = list(links(sets, sigs, range(n if left is None else left), range(n)))
+    found = list(links(sets, sigs, range(n if left is None else left), range(n), rule))
     return pd.DataFrame({"a": [cls[i] for i, _ in found], "b": [cls[j] for _, j in found]}, dtype="i8")
 
 
-def _large_links(members: DataFrame) -> DataFrame:
+def _large_links(members: DataFrame, rule: Rule) -> DataFrame:
     """Links in families (cls, family, set, sig) that are too large for a task."""
     at = members.select("cls", "family", "sig")
     # The signature that most members share, value by value; the member closest to it is the hub.
-    bytes_of = F.transform(F.sequence(F.lit(1), F.lit(VALUES)), lambda p: F.conv(F.hex(F.substring("sig", p, 1)), 16, 10).cast("int"))
+    bytes_of = F.transform(F.sequence(F.lit(1), F.lit(rule.values)), lambda p: F.conv(F.hex(F.substring("sig", p, 1)), 16, 10).cast("int"))
     values = at.select("cls", "family", F.posexplode(bytes_of).alias("p", "v"))
     counts = values.groupBy("family", "p", "v").agg(F.count("*").alias("c"))
     usual = counts.groupBy("family", "p").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
@@ -277,7 +309,7 @@ def _large_links(members: DataFrame) -> DataFrame:
 
     def try_hub(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hit = [linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in zip(pdf["set"], pdf["hub_set"], strict=True)]
+            hit = [linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), rule.percent) for x, y in zip(pdf["set"], pdf["hub_set"], strict=True)]
             yield pdf[["cls", "family", "hub"]].assign(hit=np.array(hit, bool))
 
     tried = members.select("cls", "family", "set").join(hub_sets, "family")
@@ -296,29 +328,30 @@ def _large_links(members: DataFrame) -> DataFrame:
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("side", kind="stable").drop_duplicates("cls")
-        return _weigh(pdf, int((pdf["side"] == 0).sum()))
+        return _weigh(pdf, rule, int((pdf["side"] == 0).sum()))
 
     return stars.union(_grouped(left.union(right), ["family", "x", "y"], weigh, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id_col, n_shingles, cls, component_id, kept."""
-    signed = _signed(docs, id_col, text_col)
+def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id_col, n_shingles, cls, component_id, kept; sets that share percent or more are linked."""
+    rule = Rule(percent)
+    signed = _signed(docs, id_col, text_col, rule)
     classes = signed.filter("cls is not null").groupBy("cls").agg(
         F.min("i").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
     )
     classes = staged(classes, "classes")
-    pairs = _agreeing(_candidates(classes), classes)
+    pairs = _agreeing(_candidates(classes, rule), classes, rule)
     families = components(pairs).withColumnRenamed("node", "cls").withColumnRenamed("label", "family")
     wanted = classes.select("cls", "rep", "n", "sig").join(families, "cls")
     sized = wanted.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
     sized = sized.select("family", ((F.col("m") > FAMILY_CLASSES) | (F.col("all_n") > FAMILY_SHINGLES) & (F.col("m") > 2)).alias("large"))
     wanted = staged(wanted.join(sized, "family"), "families")
     members = staged(_sets(docs, wanted, id_col, text_col).join(wanted.select("cls", "family", "large", "sig"), "cls"), "sets")
-    found = _grouped(members.filter("not large").select("family", "cls", "set", "sig"), ["family"], _weigh, "a long, b long")
+    found = _grouped(members.filter("not large").select("family", "cls", "set", "sig"), ["family"], lambda pdf: _weigh(pdf, rule), "a long, b long")
     large = members.filter("large")
     if large.limit(1).count():
-        found = found.union(_large_links(large))
+        found = found.union(_large_links(large, rule))
     labels = components(staged(found, "links"))
     least = labels.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("component"))
     of_class = labels.join(least, "label").select(F.col("node").alias("cls"), "component")
@@ -328,7 +361,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), "cls", own.alias("component_id"), F.coalesce(F.col("i") == own, F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFrame:
     """docs without the documents that another one of their component stands for; rows without an id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = near_duplicates(docs.select("doc_id", "text"), percent=percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

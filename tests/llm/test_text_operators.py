@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -324,6 +325,55 @@ def test_keep_one(spark, docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c}
 
 
+def loose_pairs(seed=9):
+    """Pairs of texts whose similarity is at 0.80, between 0.80 and 0.85, at 0.85 and just under 0.80."""
+    import random
+
+    rnd = random.Random(seed)
+    out = {}
+    for n in range(160):
+        base = [f"b{rnd.randrange(10**9)}" for _ in range(94)]  # 90 shingles; a changed tail of k words spoils k
+        changed = (10, 9, 8, 7, 11)[n % 5]  # (90 - k) / (90 + k): 0.800, 0.818, 0.837, 0.856, 0.782
+        out[40_000 + 2 * n] = " ".join(base)
+        out[40_001 + 2 * n] = " ".join([*base[:-changed], *(f"c{rnd.randrange(10**9)}" for _ in range(changed))])
+    return out
+
+
+def loose_components_of(sets):
+    """As components_of, at 80 % and over all pairs."""
+    label = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("limit, block", [(None, None), (5, 3)])
+def test_near_stage_links_from_four_fifths(spark, docs, sf, texts, monkeypatch, limit, block):
+    if limit:
+        monkeypatch.setattr(near_dedup, "FAMILY_CLASSES", limit)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+    both = texts | families() | loose_pairs()
+    sets = sets_of(both)
+    made = spark.createDataFrame(list(both.items()), "doc_id long, text string")
+    want = {i for i, c in loose_components_of(sets).items() if i == c}
+    strict = {i for i, c in components_of(sets).items() if i == c}
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, made, sf).collect()} == want
+    assert len(strict - want) >= 90 and all(40_009 + 10 * k in want for k in range(32))
+
+
+def test_forest_follows_the_similarity():
+    import math
+
+    for percent in (80, 85, 90):
+        rule, s = near_dedup.Rule(percent), percent / 100
+        missed = (1 - s**near_dedup.BASE_DEPTH) ** rule.trees
+        unlike = sum(math.comb(rule.values, k) * s**k * (1 - s) ** (rule.values - k) for k in range(rule.least))
+        assert missed <= near_dedup.MISSED and unlike <= near_dedup.UNLIKE
+
+
 # --------------------------------------------------------------------------- quality
 
 
