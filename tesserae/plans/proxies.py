@@ -465,7 +465,7 @@ def caption_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = rows.select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("doc"), F.lit(0).alias("section"), F.lit(1).alias("table_order"),
         F.col("turn").cast("int").alias("row"), F.lit(1).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"),
-        F.substring("text", 1, 30).alias("text"), F.when(F.col("role") == "assistant", F.col("turn").cast("int")).alias("image_id"),
+        "text", F.when(F.col("role") == "assistant", F.col("turn").cast("int")).alias("image_id"),
         F.array().cast("array<int>").alias("inline_ids"),
     )
     return resolve_captions(cell).select("doc", "row", "col", "bin_id", "caption", "band", "caption_source")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from tesserae.operators import captions as C
 from tesserae.operators import joins as J
 from tesserae.operators import matching as M
 from tesserae.operators import ranking as R
-from tesserae.plans import placement
+from tesserae.plans import placement, proxies
 
 
 def one(spark, column, **values):
@@ -175,6 +177,36 @@ def test_captions(spark):
     assert sorted((b, p) for b, *_, p in got["inside"]) == [(4, "background"), (4, "background"), (5, "inline")]
 
 
+def plain_conversation(turns):
+    """bin_id: (caption, source) of the second speaker's turns, from whole texts; turns: (turn, role, text)."""
+    flat = {t: " ".join((x or "").split()) for t, _, x in turns}
+    photo = {t for t, role, _ in turns if role == "assistant"}
+    named = {t for t, x in flat.items() if 0 < len(x) <= 40 and not re.fullmatch(r"[\s0-9.,\-()]*", x)}
+    shape = lambda x: 8 + 6 * (len(x) <= 20) - 14 * x.endswith(":") - 20 * (len(x) == 1)
+    sides = {t: {d: t + k for d, k in (("below", 1), ("above", -1)) if t + k in named - photo} for t in photo}
+    sure = [next(iter(x)) for x in sides.values() if len(x) == 1]
+    bonus = {d: 15 * (2 * sure.count(d) > len(sure)) for d in ("below", "above")}
+    found = [(-170 - shape(flat[t]), t, "own", t) for t in photo & named]
+    for t, x in sides.items():
+        found += [(-(100 + 25 + 10 + {"below": 12, "above": 8}[d] + bonus[d] + shape(flat[c])), t, d, c) for d, c in x.items()]
+    out, taken = {t: ("", "") for t in photo}, set()
+    for _, t, d, c in sorted(found, key=lambda f: (f[0], f[1], ["own", "below", "above"].index(f[2]))):
+        if out[t] == ("", "") and c not in taken:
+            out[t] = flat[c], C.SOURCES[d]
+            taken.add(c)
+    return out
+
+
+def test_caption_query_reads_whole_texts(spark, tmp_path):
+    rnd = np.random.RandomState(4)
+    pool = ["a view", "x", "the north wall seen from outside, 1987", "a text that goes on, and on, well beyond the forty characters of a name", "12-3", "", "note:", "a  name\nin two lines"]
+    rows = [(c, t, ("user", "assistant")[rnd.randint(2)], f"{pool[rnd.randint(8)]}") for c in range(60) for t in range(rnd.randint(1, 9))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.doc, r.bin_id): (r.caption, r.caption_source) for r in proxies.caption_resolution(spark, str(tmp_path)).collect()}
+    want = {(f"conv{c}", t): v for c in range(60) for t, v in plain_conversation([r[1:] for r in rows if r[0] == c]).items()}
+    assert got == want and any(len(v[0]) > 30 for v in want.values()) and ("", "") in want.values()
+
+
 def test_fields(spark):
     cells = table(spark, (0, 0, "도면 명칭"), (0, 1, "대전_026"), (1, 0, "유적명"), (1, 1, ""), (1, 2, "다음"), (2, 0, "비고"), (2, 1, "-"), (2, 2, "값"), (3, 0, "도면 명칭"), (3, 1, "둘째"))
     got = {r.key: r.value for r in C.extract_fields(cells).collect()}
