@@ -5,9 +5,10 @@ partition's document frequencies; the frequencies are summed over all documents
 long as the vocabulary, which bounds what is broadcast); then every partition packs its own
 documents, in index shards of at most ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` tokens.
 A shard has an inverted index from token ids to BM25 weights. The document that opens a window
-is its seed: the best unused neighbours follow it, the last one is cut where the window ends,
-and its rest opens the next window as the new seed. A seed without neighbours is followed by the
-next unused document. So only a partition's last window is padded. Nothing is shuffled but
+is its seed: the best unused neighbours by all of its token ids follow it, the last one is cut where
+the window ends, and its rest opens the next window as the new seed. Neighbours are ranked to the
+last one, so the next document in input order follows only where no unused one of the shard shares a
+token id with the seed. Only documents of the seed's own shard are asked. So only a partition's last window is padded. Nothing is shuffled but
 frequencies, and a large group of copies needs no more than its share of shards.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; null
@@ -30,8 +31,8 @@ from tesserae.llm.common import staged, text_of
 
 SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 12
-NEIGHBOURS = 24
+QUERY_TERMS = NEIGHBOURS = None  # a bound on a seed's token ids and on its ranked neighbours; None: all
+FREQUENT = 16  # token ids in a share of 1 / FREQUENT of a shard's documents are scored by one matrix product
 K1, B = 1.2, 0.75
 Piece = tuple[int, int, int, int, int]
 
@@ -49,22 +50,32 @@ class Shard:
         self._docs = np.repeat(np.arange(len(docs), dtype="i4"), n)[order]
         self._weights = weight[order]
         self._ends = np.searchsorted(all_terms[order], np.arange(len(idf) + 1))
+        frequent = np.diff(self._ends) * FREQUENT > len(docs)
+        place = np.cumsum(frequent) - 1
+        weights = np.zeros((int(frequent.sum()), len(docs)), "f4")
+        asked = np.zeros((len(docs), len(weights)), "f4")
         starts = np.cumsum([0, *n])
         self._query = []
         for k, t in enumerate(terms):
             w = weight[starts[k] : starts[k + 1]]
-            self._query.append(t if len(t) <= QUERY_TERMS else t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]])
+            often = frequent[t]
+            weights[place[t[often]], k] = w[often]
+            query = t if QUERY_TERMS is None else t[np.argsort(-w, kind="stable")[:QUERY_TERMS]]
+            often = frequent[query]
+            asked[k, place[query[often]]] = 1
+            self._query.append(query[~often])
+        self._scores = asked @ weights  # a row per seed
         self.unused = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> list[int]:
         """Unused documents by falling score, then by place."""
-        spans = [(self._ends[t], self._ends[int(t) + 1]) for t in self._query[seed]]
-        docs = np.concatenate([self._docs[a:b] for a, b in spans])
-        score = np.bincount(docs, np.concatenate([self._weights[a:b] for a, b in spans]), len(self.unused)) * self.unused
-        found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+        score = self._scores[seed].astype("f8")
+        spans = [slice(a, b) for a, b in zip(self._ends[self._query[seed]], self._ends[self._query[seed].astype("i8") + 1], strict=True)]
+        if spans:
+            docs = np.concatenate([self._docs[x] for x in spans])
+            score += np.bincount(docs, np.concatenate([self._weights[x] for x in spans]), len(score))
+        found = np.flatnonzero((score > 0) & self.unused)
+        return found[np.argsort(-score[found], kind="stable")][:NEIGHBOURS].tolist()
 
 
 class Packer:

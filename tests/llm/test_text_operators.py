@@ -258,6 +258,32 @@ def test_bm25_neighbours_as_brute_force():
         assert all(math.isclose(score[a], score[b], rel_tol=1e-4) for a, b in zip(got, best, strict=True))
 
 
+def test_seeds_ask_with_all_ids_and_until_no_neighbour_is_left():
+    import numpy as np
+
+    rare, idf = np.arange(100, 130), np.ones(500, "f4")
+    docs = [rare, rare[-1:], *(np.array([k]) for k in range(200, 240)), *([np.array([x, 300 + x]) for x in rare])]
+    docs = [d.astype("u2") for d in docs]
+    assert set(packing.Shard(docs, idf, 2.0).neighbours(0)) == {0, 1, *range(42, 72)}  # thirty ids and more than 24 neighbours
+    placed = [p[0] for p in packing.Packer(1000, 0, idf, 2.0).pack(docs)]
+    assert set(placed[1:32]) == {1, *range(42, 72)} and placed[32:] == list(range(2, 42))
+
+
+def test_frequent_ids_count_as_others_do(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.RandomState(6)
+    docs = [rnd.zipf(1.3, rnd.randint(1, 80)).clip(0, 499).astype("u2") for _ in range(200)]
+    idf = rnd.rand(500).astype("f4") + 0.1
+    found = []
+    for frequent in (1, 16, 1000):
+        monkeypatch.setattr(packing, "FREQUENT", frequent)
+        shard = packing.Shard(docs, idf, 30.0)
+        found.append([shard.neighbours(k) for k in range(200)])
+    assert [list(map(set, x)) for x in found[1:]] == [list(map(set, found[0]))] * 2
+    assert all(x[:5] == y[:5] for x, y in zip(found[0], found[2], strict=True))
+
+
 # --------------------------------------------------------------------------- near duplicates
 
 
