@@ -19,7 +19,6 @@ PLAIN, SUFFIX, SUBDIR, SKIP = "plain", "suffix", "subdir", "skip"
 ORIGINAL, LOWRES = "원본", "저용량"
 # Fields of a document that may name its folder, strongest first.
 FOLDER_FIELDS = ("도면 명칭", "도면명칭", "유적명", "유적 명칭", "연번")
-MORE_NAMES = 1000
 
 
 def use_original(path: Column, verdict: Column, strict: bool) -> Column:
@@ -116,21 +115,44 @@ def plan(matches: DataFrame, items: DataFrame, folders: DataFrame, *, lowres: st
     ).withColumn("target", F.when(F.col("skipped") == "", F.concat_ws("/", "directory", F.concat("stem", "suffix"))))
 
 
+def _numbered(path: Column) -> tuple[Column, Column]:
+    """A path without its -N before the suffix, and N: null where it has no such end, or one that no name gets."""
+    cut = F.regexp_extract(path, r"^(.*)-([1-9]\d{0,8})(\.[^./]*)?$", 2)
+    bare = F.regexp_replace(path, r"-[1-9]\d{0,8}(\.[^./]*)?$", "$1")
+    return bare, F.when(cut != "", F.try_to_number(cut, F.lit("999999999")).cast("int"))
+
+
 def free_targets(planned: DataFrame, existing: DataFrame) -> DataFrame:
-    """target changed to name-2, name-3, ... where it exists or an earlier slot has it. existing: target."""
-    order = ["directory", "stem", "suffix"]
-    numbers = F.regexp_extract(F.col("target"), r"-(\d+)\.[^./]*$", 1)
-    taken = existing.select("target").distinct().withColumn("taken", F.lit(True))
-    rows = R.running_number(planned.filter("target is not null"), order, ["doc", "doc_order"], "_k")
-    rows = rows.join(taken, "target", "left")
-    used = existing.select(F.regexp_replace("target", r"-\d+(\.[^./]*)$", "$1").alias("target"), numbers.cast("int").alias("n")).filter("n >= 2").groupBy("target").agg(F.collect_set("n").alias("_used"))
-    rows = rows.join(used, "target", "left")
-    free = F.filter(F.sequence(F.lit(2), F.lit(MORE_NAMES)), lambda n: ~F.array_contains(F.coalesce("_used", F.array().cast("array<int>")), n))
-    nth = F.col("_k") - F.when(F.col("taken").isNull(), 1).otherwise(0)
-    number = F.get(free, nth - 1)
-    target = F.when(nth == 0, F.col("target")).otherwise(F.concat("directory", F.lit("/"), "stem", F.lit("-"), number.cast("string"), "suffix"))
-    done = rows.withColumn("target", target).drop("_k", "taken", "_used")
-    return done.unionByName(planned.filter("target is null"))
+    """target changed to name-2, name-3, ... where it exists or an earlier slot has it. existing: target.
+
+    Slots that want one path get its free numbers in the order of (doc, doc_order). Paths of different names
+    can meet (the second ``a`` and ``a-2``): the earlier slot keeps such a path, and the other one goes into
+    the next pass with all later slots of its name. Passes end when nobody has to move.
+    """
+    order = F.struct("doc", "doc_order")
+    bare, number = _numbered(F.col("target"))
+    taken = existing.select("target").distinct()
+    waiting = planned.filter("target is not null").select("doc", "doc_order", F.col("target").alias("wanted"), "directory", "stem", "suffix")
+    done = None
+    while True:
+        used = taken.select(bare.alias("wanted"), number.alias("n")).filter("n >= 2").groupBy("wanted").agg(F.array_sort(F.collect_set("n")).alias("_used"))
+        rows = R.running_number(waiting, ["wanted"], ["doc", "doc_order"], "_k")
+        rows = rows.join(taken.select(F.col("target").alias("wanted"), F.lit(1).alias("_plain")), "wanted", "left").join(used, "wanted", "left")
+        nth = F.col("_k") - F.when(F.col("_plain").isNull(), 1).otherwise(0)
+        free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), nth + 1, lambda x, u: F.when(u <= x, x + 1).otherwise(x))
+        path = F.when(nth == 0, F.col("wanted")).otherwise(F.concat("directory", F.lit("/"), "stem", F.lit("-"), free.cast("string"), "suffix"))
+        rows = rows.select(*waiting.columns, "_k", path.alias("target"))
+        clashes = rows.groupBy("target").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+        moved = rows.join(clashes, "target").filter(order != F.col("_first")).groupBy("wanted").agg(F.min("_k").alias("_from"))
+        rows = rows.join(moved, "wanted", "left").persist()
+        settled = rows.filter("_from is null or _k < _from").select("doc", "doc_order", "target")
+        done = settled if done is None else done.union(settled)
+        later = rows.filter("_k >= _from").select(*waiting.columns)
+        if not later.limit(1).count():
+            break
+        taken, waiting = taken.union(settled.select("target")), later
+    placed = planned.filter("target is not null").drop("target").join(done, ["doc", "doc_order"]).select(*planned.columns)
+    return placed.unionByName(planned.filter("target is null"))
 
 
 def stale_files(planned: DataFrame, existing: DataFrame) -> DataFrame:

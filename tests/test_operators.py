@@ -307,3 +307,18 @@ def test_targets_do_not_collide(spark):
     plan = spark.createDataFrame([("d", k, "/o", "a", ".jpg", "/o/a.jpg") for k in range(3)] + [("d", 9, "/o", "b", ".jpg", None)], "doc string, doc_order int, directory string, stem string, suffix string, target string")
     got = sorted(r.target or "" for r in placement.free_targets(plan, spark.createDataFrame([("/o/a.jpg",), ("/o/a-3.jpg",)], "target string")).collect())
     assert got == ["", "/o/a-2.jpg", "/o/a-4.jpg", "/o/a-5.jpg"]
+
+
+def test_targets_of_different_names_do_not_collide(spark):
+    shape = "doc string, doc_order int, directory string, stem string, suffix string, target string"
+    free = lambda stems, there=(): {
+        r.doc_order: r.target.removeprefix("/o/") for r in placement.free_targets(
+            spark.createDataFrame([("d", k, "/o", s, ".jpg", f"/o/{s}.jpg") for k, s in enumerate(stems)], shape),
+            spark.createDataFrame([(f"/o/{s}",) for s in there], "target string"),
+        ).collect()
+    }
+    assert free(["a", "a", "a-2"]) == {0: "a.jpg", 1: "a-2.jpg", 2: "a-2-2.jpg"}
+    assert free(["a-2", "a", "a"]) == {0: "a-2.jpg", 1: "a.jpg", 2: "a-3.jpg"}
+    assert free(["a", "a", "a-2", "a", "a-2"], ["a.jpg", "a-3.jpg", "other", "b-x.jpg"]) == {0: "a-2.jpg", 1: "a-4.jpg", 2: "a-2-2.jpg", 3: "a-5.jpg", 4: "a-2-3.jpg"}
+    many = free(["x"] * 1500)
+    assert len(set(many.values())) == 1500 and many[1499] == "x-1500.jpg"
