@@ -3,12 +3,12 @@
 1. Every text gets its set of five-word shingles, a fingerprint of that set and a MinHash
    signature. Texts with equal sets are one class from there on.
 2. The forest has a number of orders that follows from the similarity asked for (``Rule``). In
-   each, classes are sorted by their own ``DEPTH`` signature values; the sort is by range over (values, class), so a crowded region spreads over partitions.
-   Candidates of a class are its neighbour with the longest common prefix and the heads of its
-   regions at depths ``BASE_DEPTH`` to ``DEPTH``: crowded regions are thus split deeper, and
-   no region emits more than a few pairs a class.
-3. Candidates whose whole signatures agree on fewer than the rule's ``least`` values go. The rest connects
-   classes into families. All pairs inside a family are weighed, whether they met in the forest or
+   each, classes are sorted by their own ``DEPTH`` signature values; the sort is by range over
+   (values, class), so a crowded region spreads over partitions. Candidates of a class are its neighbour
+   and the heads of its regions at depths ``BASE_DEPTH`` to ``DEPTH``: crowded regions are thus split
+   deeper. Signatures travel along, and candidates whose whole signatures agree on fewer than the rule's
+   ``least`` values go at once. The rest connects classes into families; a task gives a spanning forest of them.
+3. All pairs inside a family are weighed, whether they met in the forest or
    not: a family of bounded size inside one task, a larger one by a hub that most of it links to,
    then blocks of what the hub misses against blocks of the whole. Links are confirmed on full sets.
 4. Components of links give the smallest doc_id that can be reached.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import staged, text_of
-from tesserae.llm.components import components
+from tesserae.llm.components import Forest, components
 
 SHINGLE = 5
 LINK_PERCENT = 85
@@ -119,6 +119,10 @@ def prefix_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).view("i8")
 
 
+def _scattered(cls: int) -> tuple[int, int]:
+    return (cls ^ cls >> 29) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, cls
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 |a and b| >= percent |a or b|, on sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -129,26 +133,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Forest:
-    """Union-find over places."""
-
-    def __init__(self, n: int) -> None:
-        self._up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self._up[i] != i:
-            self._up[i] = i = self._up[self._up[i]]
-        return i
-
-    def union(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self._up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def links(sets: list[np.ndarray], sigs: np.ndarray, left: range, right: range, rule: Rule) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between left and right places: pairs already connected aren't weighed again."""
-    forest = Forest(len(sets))
+    forest = Forest()
     sizes = np.array([len(s) for s in sets])
     lo, hi = right.start, right.stop
     for i in left:
@@ -186,52 +173,55 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
     return staged(rows.mapInPandas(sign, f"i {kind}, cls long, n long, keys array<long>, sig binary"), "signed")
 
 
-def _candidates(classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b), a < b, of neighbours and region heads in the sorted orders."""
+def _families(classes: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) that connect classes which met in the sorted orders and whose signatures agree.
+
+    Signatures travel with the sort. A task keeps a forest of what it has seen and gives one star per tree
+    of it, with the node that comes first in a fixed order as its centre: a crowded region gives the same stars in most
+    orders, and no task gives more edges than it read classes.
+    """
     depths = DEPTH - BASE_DEPTH + 1
     starts = F.transform(F.sequence(F.lit(0), F.lit(rule.trees - 1)), lambda t: F.slice("keys", t * depths + 1, depths))
-    rows = classes.select("cls", F.explode(starts).alias("k")).select(*[F.get("k", F.lit(d)).alias(f"k{d}") for d in range(depths)], "cls")
+    rows = classes.select("cls", "n", "sig", F.explode(starts).alias("k")).select(*[F.get("k", F.lit(d)).alias(f"k{d}") for d in range(depths)], "cls", "n", "sig")
     order = [f"k{d}" for d in range(depths)] + ["cls"]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def meet(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # last row and the heads of its regions
+        forest = Forest()
+        kept = None  # of the rows so far: the last one, and before it the heads of its regions
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys, cls = pdf[order[:-1]].to_numpy(), pdf["cls"].to_numpy()
-            if last is not None:
-                keys, cls = np.vstack([last[0], keys]), np.concatenate([last[1], cls])
-            n, place = len(cls), np.arange(len(cls))
-            base = last[2] if last is not None else None
-            heads = []
+            keys, cls, n = pdf[order[:-1]].to_numpy(), pdf["cls"].to_numpy(), pdf["n"].to_numpy()
+            sig = np.frombuffer(b"".join(pdf["sig"]), "u1").reshape(-1, rule.values)
+            if kept is not None:
+                keys, cls, n, sig = (np.concatenate([old, new]) for old, new in zip(kept, (keys, cls, n, sig), strict=True))
+            before = 0 if kept is None else depths  # the first rows are heads from before, the one at this place is the last row
+            place = np.arange(len(cls))
+            pairs = [(place[before + 1 :], place[before:-1])]
+            ends = []
             for d in range(depths):
-                new = np.ones(n, bool)
-                new[1:] = (keys[1:, : d + 1] != keys[:-1, : d + 1]).any(1)
-                head = cls[np.maximum.accumulate(np.where(new, place, 0))]
-                if base is not None:  # the first row's regions began before
-                    head[: np.argmax(new[1:]) + 1 if new[1:].any() else n] = base[d]
-                heads.append(head)
-            near = np.concatenate([[cls[0]], np.where((keys[1:, 0] == keys[:-1, 0]), cls[:-1], cls[1:])])
-            a = np.concatenate([*heads, near])
-            b = np.tile(cls, depths + 1)
-            keep = a != b
-            low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-            yield pd.DataFrame({"a": low, "b": high}).drop_duplicates()
-            last = keys[-1:], cls[-1:], [h[-1] for h in heads]
-
-    return spread.mapInPandas(meet, "a long, b long").distinct()
-
-
-def _agreeing(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    sig = lambda name: classes.select(F.col("cls").alias(name), F.col("sig").alias(f"s{name}"))
-
-    def agree(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, y = (np.frombuffer(b"".join(pdf[c]), "u1").reshape(-1, rule.values) for c in ("sa", "sb"))
-            yield pdf.loc[(x == y).sum(1) >= rule.least, ["a", "b"]]
-
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").mapInPandas(agree, "a long, b long")
+                new = np.ones(len(cls), bool)
+                new[before + 1 :] = (keys[before + 1 :, : d + 1] != keys[before:-1, : d + 1]).any(1)
+                head = np.maximum.accumulate(np.where(new, place, 0))
+                if kept is not None:  # the last row's region began before
+                    old = head == before
+                    head[old] = d
+                pairs.append((place[before:], head[before:]))
+                ends.append(head[-1])
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            a, b = a[cls[a] != cls[b]], b[cls[a] != cls[b]]
+            same = (keys[a, 0] == keys[b, 0]) & (100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b]))
+            a, b = a[same], b[same]
+            for k in range(0, len(a), 4096):
+                x, y = a[k : k + 4096], b[k : k + 4096]
+                near = (sig[x] == sig[y]).sum(1) >= rule.least
+                for u, v in zip(cls[x[near]].tolist(), cls[y[near]].tolist(), strict=True):
+                    forest.union(u, v, _scattered)
+            kept = tuple(v[[*ends, len(cls) - 1]] for v in (keys, cls, n, sig))
+        yield pd.DataFrame(list(forest.stars()), columns=["a", "b"], dtype="i8")
+
+    return spread.mapInPandas(meet, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -338,11 +328,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, id_col: str
     rule = Rule(percent)
     signed = _signed(docs, id_col, text_col, rule)
     classes = signed.filter("cls is not null").groupBy("cls").agg(
-        F.min("i").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
+        F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
     )
     classes = staged(classes, "classes")
-    pairs = _agreeing(_candidates(classes, rule), classes, rule)
-    families = components(pairs).withColumnRenamed("node", "cls").withColumnRenamed("label", "family")
+    families = components(_families(classes, rule)).withColumnRenamed("node", "cls").withColumnRenamed("label", "family")
     wanted = classes.select("cls", "rep", "n", "sig").join(families, "cls")
     sized = wanted.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
     sized = sized.select("family", ((F.col("m") > FAMILY_CLASSES) | (F.col("all_n") > FAMILY_SHINGLES) & (F.col("m") > 2)).alias("large"))
@@ -355,7 +344,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, id_col: str
     labels = components(staged(found, "links"))
     least = labels.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("component"))
     of_class = labels.join(least, "label").select(F.col("node").alias("cls"), "component")
-    reps = classes.select("cls", "rep").join(of_class, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    # Classes of one document without a link speak for themselves; what is left is joined with the documents alone, so a large class can be split.
+    reps = classes.select("cls", "rep", "copies").join(of_class, "cls", "left").filter("copies > 1 or component is not null")
+    reps = staged(reps.select("cls", F.coalesce("component", "rep").alias("component")), "representatives")
     out = signed.select("i", "n", "cls").join(reps, "cls", "left")
     own = F.coalesce("component", "i")
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), "cls", own.alias("component_id"), F.coalesce(F.col("i") == own, F.lit(False)).alias("kept"))
