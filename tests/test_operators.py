@@ -223,63 +223,119 @@ def test_floating_captions(spark):
 # --------------------------------------------------------------------------- verdicts
 
 
-def candidate(path, score, **more):
-    base = dict.fromkeys(M.RECORD) | {"path": path, "size": 10, "width": 4000, "height": 3000, "exif_key": "", "name_match": False, "orientation": S.AS_IS}
-    return base | {"exif_conflict": False, "identical_file": False, "score": score, "has_visual": True, "refined": False} | more
-
-
-@pytest.mark.parametrize(
-    "found, verdict, best",
-    [
-        ([], S.NOT_FOUND, None),
-        ([candidate("a", 0.95), candidate("b", 0.7)], S.CERTAIN, "a"),
-        ([candidate("a", 0.95), candidate("b", 0.93)], S.REVIEW, "a"),
-        ([candidate("a", 0.7)], S.REVIEW, "a"),
-        ([candidate("a", 0.5)], S.NOT_FOUND, None),
-        ([candidate("a", 0.99, exif_conflict=True)], S.NOT_FOUND, None),
-        ([candidate("a", 0.99, exif_conflict=True), candidate("b", 0.9)], S.CERTAIN, "b"),
-        ([candidate("a", 0.5, name_match=True), candidate("b", 0.8)], S.CERTAIN, "a"),
-        ([candidate("a", 0.9, name_match=True, exif_conflict=True), candidate("b", 0.5)], S.NOT_FOUND, None),
-        ([candidate("a", 0.5, exif_key=S.KEY_MODEL), candidate("b", 0.99)], S.CERTAIN, "a"),
-        ([candidate("a", 0.5, exif_key=S.KEY_TIME)], S.REVIEW, "a"),
-        ([candidate("a", 0.4, exif_key=S.KEY_UID)], S.REVIEW, "a"),
-        ([candidate("a", 0.9, exif_key=S.KEY_MODEL), candidate("b", 0.89, exif_key=S.KEY_MODEL)], S.REVIEW, "a"),
-        ([candidate("a", 0.9, exif_key=S.KEY_MODEL), candidate("b", 0.7, exif_key=S.KEY_MODEL)], S.CERTAIN, "a"),
-        ([candidate("a", 0.9, orientation=S.MIRRORED)], S.REVIEW, "a"),
-    ],
+FOUND = (
+    "query_id string, pixels long, path string, size long, width int, height int, taken_at string, subsec string, model string, unique_id string, head_sha1 string, "
+    "dhash array<bigint>, phash bigint, gray array<double>, tiles array<double>, exif_key string, name_match boolean, orientation string, exif_conflict boolean, "
+    "identical_file boolean, score double, has_visual boolean, refined boolean"
 )
-def test_decision_table(found, verdict, best):
-    a = M.decide_one(found, 1000)
-    assert (a["verdict"], a["best"] and a["best"]["path"]) == (verdict, best)
-
-
-def test_larger_versions_and_copies():
-    small, large = candidate("small", 0.95, width=800, height=600, unique_id="u"), candidate("large", 0.94, unique_id="u")
-    a = M.decide_one([small, large], 800 * 600)
-    assert a["best"]["path"] == "large" and a["verdict"] == S.CERTAIN and a["best"]["size_ratio"] == 25
-    b = M.decide_one([small | {"identical_file": True}], 800 * 600)
-    assert b["verdict"] == S.REVIEW and "완전히 같은 파일" in b["message"] and M.decide_one([small], 800 * 600, True)["verdict"] == S.CERTAIN
-    low = M.decide_one([small | {"score": 0.7}, large | {"score": 0.69}], 1000)
-    assert low["verdict"] == S.REVIEW  # a low score is never raised
 
 
-def test_two_pictures_do_not_share_an_original():
-    slot = lambda score, *others: {"best": {"path": "a", "score": score}, "runners_up": [{"path": p, "score": 0.5} for p in others], "verdict": S.CERTAIN, "message": ""}
-    done = M.exclusive([slot(0.9, "b"), slot(0.95), slot(0.8, "a", "c")])
-    assert [d["best"]["path"] for d in done] == ["b", "a", "a"] and done[0]["verdict"] == S.REVIEW
-    done = M.exclusive([slot(0.9, "b"), slot(0.95), slot(0.8, "a", "c")], iterate=True)
-    assert [d["best"]["path"] for d in done] == ["b", "a", "c"]
-    assert M.exclusive([slot(0.9), slot(0.8)])[1]["verdict"] == S.NOT_FOUND
+def candidate(path, score, **more):
+    base = dict.fromkeys(M.RECORD) | {"path": path, "size": 10, "width": 4000, "height": 3000, "exif_key": "", "name_match": False, "orientation": S.AS_IS}
+    return base | {"exif_conflict": False, "identical_file": False, "score": score, "has_visual": True, "refined": False, "pixels": 1000} | more
+
+
+def found_of(spark, cases):
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    rows = [tuple((c | {"query_id": q})[n] for n in names) for q, found in cases.items() for c in found]
+    return spark.createDataFrame(rows, FOUND), spark.createDataFrame([(q,) for q in cases], "query_id string")
+
+
+def decided(spark, cases, **more):
+    return {r.query_id: r for r in M.decide(*found_of(spark, cases), **more).collect()}
+
+
+CASES = [
+    ([], S.NOT_FOUND, None),
+    ([candidate("a", 0.95), candidate("b", 0.7)], S.CERTAIN, "a"),
+    ([candidate("a", 0.95), candidate("b", 0.93)], S.REVIEW, "a"),
+    ([candidate("a", 0.7)], S.REVIEW, "a"),
+    ([candidate("a", 0.5)], S.NOT_FOUND, None),
+    ([candidate("a", 0.99, exif_conflict=True)], S.NOT_FOUND, None),
+    ([candidate("a", 0.99, exif_conflict=True), candidate("b", 0.9)], S.CERTAIN, "b"),
+    ([candidate("a", 0.5, name_match=True), candidate("b", 0.8)], S.CERTAIN, "a"),
+    ([candidate("a", 0.9, name_match=True, exif_conflict=True), candidate("b", 0.5)], S.NOT_FOUND, None),
+    ([candidate("a", 0.5, exif_key=S.KEY_MODEL), candidate("b", 0.99)], S.CERTAIN, "a"),
+    ([candidate("a", 0.5, exif_key=S.KEY_TIME)], S.REVIEW, "a"),
+    ([candidate("a", 0.4, exif_key=S.KEY_UID)], S.REVIEW, "a"),
+    ([candidate("a", 0.9, exif_key=S.KEY_MODEL), candidate("b", 0.89, exif_key=S.KEY_MODEL)], S.REVIEW, "a"),
+    ([candidate("a", 0.9, exif_key=S.KEY_MODEL), candidate("b", 0.7, exif_key=S.KEY_MODEL)], S.CERTAIN, "a"),
+    ([candidate("a", 0.9, orientation=S.MIRRORED)], S.REVIEW, "a"),
+]
+
+
+def test_decision_table(spark):
+    got = decided(spark, {str(k): found for k, (found, *_) in enumerate(CASES)})
+    assert [(got[str(k)].verdict, got[str(k)].best and got[str(k)].best.path) for k in range(len(CASES))] == [(v, b) for _, v, b in CASES]
+    shown = lambda k: [p.path for p in got[str(k)].runners_up]
+    assert shown(2) == ["b"] and shown(4) == ["a"] and shown(5) == ["a"] and shown(8) == ["a", "b"] and shown(9) == ["b"]
+
+
+def test_larger_versions_and_copies(spark):
+    small, large = candidate("small", 0.95, width=800, height=600, unique_id="u", pixels=480_000), candidate("large", 0.94, unique_id="u", pixels=480_000)
+    other = candidate("other", 0.2, exif_key=S.KEY_MODEL, pixels=480_000)
+    cases = {
+        "both": [small, large], "copy": [small | {"identical_file": True}], "low": [small | {"score": 0.7}, large | {"score": 0.69}],
+        "keyed": [small | {"exif_key": S.KEY_MODEL}, large | {"exif_key": S.KEY_MODEL, "score": 0.9}, other],
+    }
+    got = decided(spark, cases)
+    assert got["both"].best.path == "large" and got["both"].verdict == S.CERTAIN and got["both"].best.size_ratio == 25 and got["both"].message == ""
+    assert got["copy"].verdict == S.REVIEW and got["copy"].message == M.COPY_NOTE
+    assert got["low"].verdict == S.REVIEW  # a low score is never raised
+    assert (got["keyed"].best.path, got["keyed"].verdict, [p.path for p in got["keyed"].runners_up]) == ("large", S.CERTAIN, ["other"])
+    assert "4000×3000" in got["keyed"].best.reason and "25.0" in got["keyed"].best.reason
+    assert decided(spark, {"x": cases["copy"]}, allow_same_size=True)["x"].verdict == S.CERTAIN
 
 
-def test_close_look_separates():
+def test_versions_as_the_columns_tell_them(spark):
+    rnd = np.random.RandomState(1)
+    looks = [([int(x) for x in rnd.randint(-(2**62), 2**62, 4)], rnd.rand(64).tolist(), (rnd.rand(48) * 255).tolist()) for _ in range(2)]
+    rows = []
+    for k in range(60):
+        dhash, gray, tiles = looks[rnd.randint(2)]
+        flip = lambda v: [v[0] ^ int(rnd.randint(0, 2) * (2**30 - 1)), *v[1:]]
+        text = lambda *values: values[rnd.randint(len(values))]
+        visible = rnd.rand() < 0.8
+        rows.append((
+            "q", k + 1, f"p{k}", text(None, "", "u", "v"), text(None, "", "t1", "t2"), text("", "1", "2"), text(None, "m", "n"), text(800, 801, 900), 600,
+            flip(dhash) if visible else None, [g + 0.02 * rnd.rand() for g in gray] if visible else None, tiles if visible else None,
+        ))
+    shape = "query_id string, nth int, path string, unique_id string, taken_at string, subsec string, model string, width int, height int, dhash array<bigint>, gray array<double>, tiles array<double>"
+    df = spark.createDataFrame(rows, shape)
+    a, b = (df.select(F.struct(*M.LOOK).alias(n), F.col("nth").alias(f"n{n}")) for n in "ab")
+    same = {(r.na, r.nb) for r in a.crossJoin(b).filter(S.same_photo("a", "b")).select("na", "nb").collect()}
+    want, leaders = {}, []
+    for k in range(1, 61):
+        want[f"p{k - 1}"] = next((lead for lead in leaders if (lead, k) in same), k)
+        leaders += [k] * (want[f"p{k - 1}"] == k)
+    assert {r.path: r.version for r in M.version_groups(df).collect()} == want and 3 < len(leaders) < 60
+
+
+def test_two_pictures_do_not_share_an_original(spark):
+    slot = lambda n, score, *others: ("d", n, ("a", score), [(p, 0.5) for p in others], S.CERTAIN, "")
+    pick = "struct<path: string, score: double>"
+    shape = f"doc string, doc_order int, best {pick}, runners_up array<{pick}>, verdict string, message string"
+    run = lambda *slots: sorted(M.assign_exclusive(spark.createDataFrame(slots, shape)).collect(), key=lambda r: r.doc_order)
+    done = run(slot(0, 0.9, "b"), slot(1, 0.95), slot(2, 0.8, "a", "c"))
+    assert [d.best.path for d in done] == ["b", "a", "a"] and [d.verdict for d in done] == [S.REVIEW, S.CERTAIN, S.REVIEW] and done[0].message and not done[1].message
+    done = run(slot(0, 0.9), slot(1, 0.8), slot(2, 0.9, "x"))
+    assert [d.verdict for d in done] == [S.CERTAIN, S.NOT_FOUND, S.REVIEW]
+
+
+def test_close_look_separates(spark):
     rnd = np.random.RandomState(0)
     a = rnd.rand(256, 256, 3) * 255
     b = a.copy()
     b[:40, :40] = 0
     assert M.refined_score(0.9, a, a) > M.refined_score(0.9, a, b) + 0.1
-    assert [c["path"] for c in M.near_ties([candidate("a", 0.9), candidate("b", 0.89), candidate("c", 0.2)])] == ["a", "b", "c"]
-    assert M.near_ties([candidate("a", 0.9), candidate("b", 0.5)]) == []
+    cases = {
+        "near": [candidate("a", 0.9), candidate("b", 0.89), candidate("c", 0.2)], "far": [candidate("a", 0.9), candidate("b", 0.5)],
+        "keys": [candidate("a", 0.9, exif_key=S.KEY_MODEL), candidate("b", 0.89, exif_key=S.KEY_MODEL), candidate("c", 0.89)],
+        "named": [candidate("a", 0.9, name_match=True), candidate("b", 0.89)],
+    }
+    found, _ = found_of(spark, cases)
+    got = sorted((r.query_id, r.path) for r in M.ties(found).collect())
+    assert got == [("keys", "a"), ("keys", "b"), ("near", "a"), ("near", "b"), ("near", "c")]
 
 
 # --------------------------------------------------------------------------- placement
