@@ -72,7 +72,7 @@ def analyse(spark: SparkSession, paths: list[str], work_dir: str, fast: bool = T
         whole = images.fingerprints(images.decoded(spark, rest), turns).withColumn("thumbed", F.lit(False))
         prints = whole if prints is None else prints.unionByName(whole)
     joined = meta.drop("thumb").join(prints, "path", "left")
-    error = F.when(F.col("gray").isNull(), "이미지를 열지 못했습니다").otherwise("")
+    error = F.when(F.col("gray").isNull(), "그림을 해석하지 못함").otherwise("")
     names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
     return joined.withColumns({"error": error, "thumbed": F.coalesce("thumbed", F.lit(False))}).select(*names)
 

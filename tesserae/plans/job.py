@@ -115,7 +115,7 @@ def run(spark: SparkSession, config: Config, say: Callable[[str], None] = lambda
     try:
         _run(spark, config, result, "file://" + os.path.abspath(work) if "://" not in work else work, say, check)
     except Cancelled:
-        result.cancelled, result.error = True, "중단했습니다. 지금까지 만든 색인은 남아 있어 다시 실행하면 이어서 합니다."
+        result.cancelled, result.error = True, "멈췄습니다. 색인은 그대로 있으니 다음에 이어집니다."
     except ValueError as e:
         result.error = str(e)
     finally:
@@ -129,39 +129,39 @@ def run(spark: SparkSession, config: Config, say: Callable[[str], None] = lambda
 
 def _run(spark: SparkSession, config: Config, result: Result, work: str, say: Callable[[str], None], check: Callable[[], None]) -> None:
     if not config.documents:
-        raise ValueError("한글 파일(.hwp/.hwpx)을 찾지 못했습니다.")
+        raise ValueError("읽을 한글 파일이 없습니다.")
     if not config.sources:
-        raise ValueError("원본 사진이 있는 폴더를 지정해 주세요.")
+        raise ValueError("사진 폴더를 지정하지 않았습니다.")
     if not config.dest:
-        raise ValueError("정리해 넣을 폴더를 지정해 주세요.")
+        raise ValueError("결과 폴더를 지정하지 않았습니다.")
     for source in config.sources:
         system, at = index._file_system(spark, source)
         if not system.exists(at):
-            raise ValueError(f"원본 사진 폴더를 찾을 수 없습니다: {source}")
+            raise ValueError(f"사진 폴더가 없습니다: {source}")
     found = files.scan_documents(spark, config.documents, config.recursive, with_content=True)
     keep = lambda df, name: (df.write.parquet(f"{work}/{name}"), spark.read.parquet(f"{work}/{name}"))[1]
     parsed = keep(read_documents(found.withColumn("path", images.same_path(F.col("path"))), config.include_floating), "parsed")
     if not parsed.limit(1).count():
-        raise ValueError("한글 파일(.hwp/.hwpx)을 찾지 못했습니다.")
+        raise ValueError("읽을 한글 파일이 없습니다.")
     documents = Documents(parsed.filter("error is null"))
     result.skipped = [os.path.basename(r.doc) for r in parsed.filter("error is not null").select("doc").collect()]
     result.documents = documents.docs.count()
     slots = keep(documents.slots(), "slots")
     result.photos = slots.count()
-    say(f"표에서 사진 {result.photos}장과 이름을 찾았습니다.")
+    say(f"문서의 사진 칸: {result.photos}")
     if not result.photos:
-        raise ValueError("넣을 사진이 없습니다.")
+        raise ValueError("문서에 사진 칸이 없습니다.")
     check()
     stats = index.refresh(spark, config.sources, config.index_path, config.fast_index)
     result.candidates = stats["total"]
     if not result.candidates:
-        raise ValueError("원본 사진을 한 장도 찾지 못했습니다. 폴더 경로를 확인해 주세요.")
-    say(f"원본 후보 {stats['total']:,}장 (새로 읽음 {stats['new_read']:,} · 지난 결과 재사용 {stats['reused']:,})")
+        raise ValueError("사진 폴더에 읽을 사진이 없습니다.")
+    say(f"색인한 사진: {stats['total']:,} (새로 {stats['new_read']:,}, 그대로 {stats['reused']:,})")
     check()
     fields = keep(documents.fields(), "fields")
     matched = keep(match(spark, documents.items, index.load(spark, config.index_path, config.sources), work, config.allow_same_size), "matched")
     rows = slots.join(matched, ["doc", "bin_id"], "left")
-    none = F.lit("문서에서 사진 자료를 꺼내지 못했습니다")
+    none = F.lit("문서에 이 사진의 자료가 없음")
     rows = rows.withColumns({"verdict": F.coalesce("verdict", F.lit(S.NOT_FOUND)), "message": F.coalesce("message", none), "runners_up": F.coalesce("runners_up", F.array().cast(f"array<{M.PICK}>"))})
     if not config.allow_duplicate:
         rows = M.assign_exclusive(rows)
@@ -192,7 +192,7 @@ def _run(spark: SparkSession, config: Config, result: Result, work: str, say: Ca
 
 def _folders(spark: SparkSession, config: Config, docs: DataFrame, fields: DataFrame) -> DataFrame:
     if config.flat:
-        return docs.select("doc", F.lit(config.dest.rstrip("/")).alias("folder"), F.lit("한 폴더에 모으기").alias("how"), F.lit(False).alias("created"))
+        return docs.select("doc", F.lit(config.dest.rstrip("/")).alias("folder"), F.lit("모두 같은 폴더").alias("how"), F.lit(False).alias("created"))
     system, at = index._file_system(spark, config.dest)
     names = [s.getPath().getName() for s in system.listStatus(at) if s.isDirectory()] if system.exists(at) else []
     existing = spark.createDataFrame([(n,) for n in names if n != FOLDER], "folder string")
@@ -231,6 +231,6 @@ def apply_corrections(spark: SparkSession, csv_path: str, state_path: str, dry_r
     bare = F.regexp_replace("target", r"\.[^./]*$", "")
     suffix = F.when(F.col("source") != "", F.coalesce(F.nullif(T.suffix(F.col("source")), F.lit("")), T.suffix(F.col("target")))).otherwise(T.lowres_suffix(F.col("ext")))
     planned = rows.withColumn("new_target", F.concat(bare, suffix))
-    why = F.when(F.col("doc").isNull(), "어디에 넣었는지 알 수 없음").when((F.col("source") == "") & (F.coalesce(F.length("data"), F.lit(0)) == 0), "문서에서 사진을 꺼내지 못함").otherwise("")
+    why = F.when(F.col("doc").isNull(), "앞서 넣은 기록이 없음").when((F.col("source") == "") & (F.coalesce(F.length("data"), F.lit(0)) == 0), "문서에 이 사진의 자료가 없음").otherwise("")
     planned = planned.withColumn("skipped", why)
     return planned if dry_run else outputs.correct(spark, planned.orderBy("line"), state, state_path)

@@ -138,7 +138,7 @@ def correct(spark: SparkSession, planned: DataFrame, state: DataFrame, state_pat
                 if r.source:
                     source = "/" + r.source.removeprefix("file:").lstrip("/")
                     if not os.path.exists(source):
-                        raise OSError(f"원본이 없습니다: {source}")
+                        raise OSError(f"가져올 파일이 없음: {source}")
                     shutil.copy2(source, new + ".part")
                 else:
                     with open(new + ".part", "wb") as f:

@@ -69,7 +69,7 @@ def resolve_folders(docs: DataFrame, fields: DataFrame, folders: DataFrame, dest
     equal = asked.join(named, "norm").filter(agree)
     steps = []
     for k, name in enumerate(("", *FOLDER_FIELDS)):
-        how = f"문서의 '{name}' 과 같은 폴더" if name else "파일 이름과 같은 폴더"
+        how = f"'{name}' 값과 폴더 이름이 같음" if name else "문서와 폴더 이름이 같음"
         steps.append((how, equal.filter(F.col("tier") == k).select("doc", F.col("folder").alias("answer"), F.col("folder").alias("order"))))
     # Folder names inside a file's name meet it by one of the name's substrings: an equality join.
     own = asked.filter("tier = 0")
@@ -78,18 +78,18 @@ def resolve_folders(docs: DataFrame, fields: DataFrame, folders: DataFrame, dest
     parts = own.filter("norm <> ''").select("doc", "dd", F.explode(F.array_distinct(pieces)).alias("norm"))
     inside = parts.join(named.filter("norm <> ''"), "norm").filter(agree)
     long_first = F.concat(F.lpad((10_000 - F.length("folder")).cast("string"), 6, "0"), "folder")
-    steps.append(("폴더 이름이 파일 이름에 들어 있음", inside.select("doc", F.col("folder").alias("answer"), long_first.alias("order"))))
+    steps.append(("문서 이름이 폴더 이름을 품음", inside.select("doc", F.col("folder").alias("answer"), long_first.alias("order"))))
     # Close names are looked for only among folders with the same number, or without any.
     key = lambda c: F.coalesce(F.array_max(c), F.lit(-1))
     by_digit = named.select("folder", "fd", F.explode(F.when(F.size("fd") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.slice("fd", 1, 1))).alias("d"))
     ask = asked.select("doc", "value", "tier", "dd", F.explode(F.when(F.size("dd") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct("dd"))).alias("d"))
     near = ask.join(by_digit, "d").filter(agree).groupBy("doc", "value", "tier").agg(F.sort_array(F.collect_set("folder")).alias("names"))
     close = near.select("doc", "tier", F.posexplode(T.close_matches("value", "names")).alias("n", "answer"))
-    steps.append(("이름이 비슷한 폴더", close.select("doc", "answer", F.concat("tier", F.lit("-"), "n").alias("order"))))
+    steps.append(("폴더 이름이 가까움", close.select("doc", "answer", F.concat("tier", F.lit("-"), "n").alias("order"))))
     found = J.cascade(docs.select("doc"), "doc", steps)
     made = T.sanitize(T.stem(T.base_name(F.col("doc"))))
     folder = F.coalesce("answer", made) if create_missing else F.col("answer")
-    none = "맞는 폴더가 없어 새로 만듦" if create_missing else "맞는 폴더를 찾지 못함"
+    none = "알맞은 폴더가 없어 만듦" if create_missing else "알맞은 폴더 없음"
     return found.select(
         "doc", F.when(folder.isNotNull(), F.concat(F.lit(dest.rstrip("/") + "/"), folder)).alias("folder"), F.coalesce("how", F.lit(none)).alias("how"),
         (F.col("answer").isNull() & F.lit(create_missing)).alias("created"), F.coalesce("others", F.array().cast("array<string>")).alias("ambiguous"),
@@ -102,13 +102,13 @@ def plan(matches: DataFrame, items: DataFrame, folders: DataFrame, *, lowres: st
     rows = matches.join(stored, ["doc", "bin_id"], "left").join(folders.select("doc", "folder"), "doc").filter("folder is not null")
     original = use_original(F.col("best.path"), F.col("verdict"), strict)
     missing = ~F.coalesce("stored", F.lit(False))
-    skipped = F.when(original, "").when(missing, "문서 안에도 사진 자료가 없습니다").when(F.lit(lowres == SKIP), "원본을 찾지 못했습니다").otherwise("")
+    skipped = F.when(original, "").when(missing, "문서에도 사진이 들어 있지 않음").when(F.lit(lowres == SKIP), "원본 없음").otherwise("")
     suffix = F.when(original, T.original_suffix(F.col("best.path"))).otherwise(T.lowres_suffix(F.col("ext")))
     marked = F.concat("name", F.lit(f"({LOWRES})")) if lowres == SUFFIX else F.col("name")
     stem = T.sanitize(F.when(original, F.col("name")).otherwise(marked))
     below = F.lit(f"/_{LOWRES}" if lowres == SUBDIR else "")
     directory = F.concat("folder", F.when(original, "").otherwise(below))
-    source = F.when(original, F.col("best.path")).otherwise(F.concat(T.base_name(F.col("doc")), F.lit(" 안의 "), F.coalesce("stream", F.lit(""))))
+    source = F.when(original, F.col("best.path")).otherwise(F.concat(T.base_name(F.col("doc")), F.lit("에서 꺼냄: "), F.coalesce("stream", F.lit(""))))
     return rows.select(
         "*", original.alias("original"), F.when(original, ORIGINAL).otherwise(LOWRES).alias("origin"), skipped.alias("skipped"),
         F.when(skipped == "", source).otherwise("").alias("source"), directory.alias("directory"), stem.alias("stem"), suffix.alias("suffix"),
@@ -194,7 +194,7 @@ def carry_out(planned: DataFrame, items: DataFrame) -> DataFrame:
                                 f.write(r.data)
                         os.replace(part, path)
                     except OSError as e:
-                        note, target = f"복사 실패: {e}", None
+                        note, target = f"파일을 쓰지 못함: {e}", None
                 notes.append(note)
                 targets.append(target)
             yield pdf.drop(columns=["data"]).assign(skipped=notes, target=targets)

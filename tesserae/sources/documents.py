@@ -29,10 +29,10 @@ def parse(path: str, data: bytes, include_floating: bool) -> dict:
     except hwp5.Encrypted as e:
         return row | {"error": str(e), "encrypted": True}
     except Exception as e:  # noqa: BLE001  one bad file is a row, not a failed job
-        return row | {"error": f"읽기 실패: {e}"}
+        return row | {"error": f"읽는 중 문제가 생김: {e}"}
     items = {k: i for k, i in found.items.items() if hwp5.is_photo_like(i)}
     if dropped := len(found.items) - len(items):
-        found.warnings.append(f"아이콘·머리표처럼 사진으로 보기 어려운 그림 {dropped}종은 건너뛰었습니다")
+        found.warnings.append(f"사진이라기에는 작은 그림 {dropped}개를 뺐습니다.")
     cells = []
     for n, c in enumerate(found.cells):
         image = found.images.get(c.fill)

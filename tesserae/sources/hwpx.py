@@ -86,15 +86,15 @@ def read(data: bytes, include_floating: bool = False) -> Document:
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except (zipfile.BadZipFile, OSError) as e:
-        raise Unreadable(f"HWPX(zip) 파일을 열 수 없습니다: {e}") from e
+        raise Unreadable(f"묶음 파일이 열리지 않습니다 ({e})") from e
     names = {n.lower(): n for n in archive.namelist()}
     part = lambda name: archive.read(names[name.lower()]) if name.lower() in names else None
     if b"encryption-data" in (part(MANIFEST) or b""):
-        raise Encrypted("암호가 걸린 HWPX 파일입니다")
+        raise Encrypted("암호로 잠긴 문서입니다.")
     try:
         listed = {n.get("id"): n for n in _all(ElementTree.fromstring(part(CONTENT) or b""), "item") if n.get("id")}
     except ElementTree.ParseError as e:
-        raise Unreadable(f"HWPX 목록(content.hpf)을 읽지 못했습니다: {e}") from e
+        raise Unreadable(f"문서의 내용 목록이 깨져 있습니다 ({e})") from e
     fills: dict[str, str] = {}
     try:
         for fill in _all(ElementTree.fromstring(part(HEADER) or b"<none/>"), "borderFill"):
@@ -113,7 +113,7 @@ def read(data: bytes, include_floating: bool = False) -> Document:
         try:
             root = ElementTree.fromstring(archive.read(name))
         except ElementTree.ParseError as e:
-            out.warnings.append(f"{name} 을 읽지 못했습니다: {e}")
+            out.warnings.append(f"{name}: 읽을 수 없는 구역 ({e})")
             continue
         depth = {}
         for table in _all(root, "tbl"):
@@ -143,7 +143,7 @@ def read(data: bytes, include_floating: bool = False) -> Document:
                 out.floating += [(k, n, number(numbers, ref)) for ref, _ in cell_pictures(wrapped)]
     for ref, bin_id in numbers.items():
         if ref not in listed:
-            out.warnings.append(f"'{ref}' 그림이 문서 목록에 없습니다")
+            out.warnings.append(f"{ref} 그림은 내용 목록에 없습니다.")
             continue
         href = listed[ref].get("href", "")
         ext = href.rpartition(".")[2].lower() if "." in href.rpartition("/")[2] else ""

@@ -96,7 +96,7 @@ def test_job_and_corrections(spark, place):
     assert (folder / "_저용량" / "유물.png").exists()
 
 
-@pytest.mark.parametrize("change, message", [({"documents": []}, "한글 파일"), ({"sources": []}, "폴더를 지정"), ({"dest": ""}, "정리해"), ({"sources": ["/no/such"]}, "찾을 수 없습니다")])
+@pytest.mark.parametrize("change, message", [({"documents": []}, "한글 파일이 없"), ({"sources": []}, "사진 폴더를 지정"), ({"dest": ""}, "결과 폴더"), ({"sources": ["/no/such"]}, "사진 폴더가 없습니다")])
 def test_missing_parts_are_told(spark, place, change, message):
     c = config(place)
     for k, v in change.items():

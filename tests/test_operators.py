@@ -53,14 +53,14 @@ def test_clean_path(spark, raw, want):
     assert one(spark, T.clean_path(F.col("t")), t=raw) == want
 
 
-@pytest.mark.parametrize("a, b, want", [("대전_001", "대전_002", False), ("유물산포지2", "2025 유물산포지2", True), ("조사", "조사", True), ("조사", "조사1", False), ("1", "", False)])
+@pytest.mark.parametrize("a, b, want", [("나주_001", "나주_002", False), ("지석묘군3", "2031 지석묘군3", True), ("조사", "조사", True), ("조사", "조사1", False), ("1", "", False)])
 def test_digits(spark, a, b, want):
     assert one(spark, T.digits_agree(T.digit_signature(F.col("a")), T.digit_signature(F.col("b"))), a=a, b=b) is want
 
 
 def test_names(spark):
     assert one(spark, T.stem(F.col("t")), t="a.b.jpg") == "a.b" and one(spark, T.stem(F.col("t")), t=".x") == ".x"
-    assert one(spark, T.useful_name(F.col("t")), t="CLP00001d1c371e.bmp") is None and one(spark, T.useful_name(F.col("t")), t="DSC.JPG") == "DSC.JPG"
+    assert one(spark, T.useful_name(F.col("t")), t="CLP0a1b2c3d4e5f.bmp") is None and one(spark, T.useful_name(F.col("t")), t="DSC.JPG") == "DSC.JPG"
     assert one(spark, T.lowres_suffix(F.col("t")), t="JPEG") == ".jpg" and one(spark, T.original_suffix(F.col("t")), t="/a/B.JPG") == ".JPG"
     assert one(spark, T.human_size(F.col("t").cast("long")), t=2048) == "2.0KB" and one(spark, T.html_escape(F.col("t")), t="<&'\">") == "&lt;&amp;&#x27;&quot;&gt;"
 
@@ -208,9 +208,9 @@ def test_caption_query_reads_whole_texts(spark, tmp_path):
 
 
 def test_fields(spark):
-    cells = table(spark, (0, 0, "도면 명칭"), (0, 1, "대전_026"), (1, 0, "유적명"), (1, 1, ""), (1, 2, "다음"), (2, 0, "비고"), (2, 1, "-"), (2, 2, "값"), (3, 0, "도면 명칭"), (3, 1, "둘째"))
+    cells = table(spark, (0, 0, "도면 명칭"), (0, 1, "나주_026"), (1, 0, "유적명"), (1, 1, ""), (1, 2, "다음"), (2, 0, "비고"), (2, 1, "-"), (2, 2, "값"), (3, 0, "도면 명칭"), (3, 1, "둘째"))
     got = {r.key: r.value for r in C.extract_fields(cells).collect()}
-    assert got["도면 명칭"] == got["도면명칭"] == "대전_026" and "유적명" not in got and got["비고"] == "값"
+    assert got["도면 명칭"] == got["도면명칭"] == "나주_026" and "유적명" not in got and got["비고"] == "값"
 
 
 def test_floating_captions(spark):
@@ -342,13 +342,13 @@ def test_close_look_separates(spark):
 
 
 def test_folders(spark):
-    docs = [f"/in/{n}.hwp" for n in ("대전_001 조사", "2025 효평동 유물산포지2 정밀", "가 나", "없음", "보고서 12 최종본입니다 정말로요", "이름다른파일")]
-    folders = ["대전_002 조사", "유물산포지2", "가나", "보고서 12 최종본입니다 정말로용", "대전_026"]
-    fields = spark.createDataFrame([("/in/이름다른파일.hwp", "도면 명칭", "대전_026")], "doc string, key string, value string")
+    docs = [f"/in/{n}.hwp" for n in ("나주_001 조사", "2031 강변리 지석묘군3 자료", "가 나", "없음", "보고서 12 최종본입니다 정말로요", "이름다른파일")]
+    folders = ["나주_002 조사", "지석묘군3", "가나", "보고서 12 최종본입니다 정말로용", "나주_026"]
+    fields = spark.createDataFrame([("/in/이름다른파일.hwp", "도면 명칭", "나주_026")], "doc string, key string, value string")
     rows = placement.resolve_folders(spark.createDataFrame([(d,) for d in docs], "doc string"), fields, spark.createDataFrame([(f,) for f in folders], "folder string"), "/out").collect()
     got = {r.doc[4:-4]: (r.folder[5:], r.created) for r in rows}
-    assert got["대전_001 조사"] == ("대전_001 조사", True) and got["2025 효평동 유물산포지2 정밀"] == ("유물산포지2", False) and got["가 나"] == ("가나", False)
-    assert got["없음"] == ("없음", True) and got["보고서 12 최종본입니다 정말로요"] == ("보고서 12 최종본입니다 정말로용", False) and got["이름다른파일"] == ("대전_026", False)
+    assert got["나주_001 조사"] == ("나주_001 조사", True) and got["2031 강변리 지석묘군3 자료"] == ("지석묘군3", False) and got["가 나"] == ("가나", False)
+    assert got["없음"] == ("없음", True) and got["보고서 12 최종본입니다 정말로요"] == ("보고서 12 최종본입니다 정말로용", False) and got["이름다른파일"] == ("나주_026", False)
 
 
 def test_names_are_numbered(spark):
@@ -356,7 +356,7 @@ def test_names_are_numbered(spark):
     none = spark.createDataFrame([("d.hwp", "도면 명칭", "대전")], "doc string, key string, value string")
     names = lambda **k: [r.name for r in placement.plan_names(slots, none, **k).orderBy("doc_order").collect()]
     assert names() == ["전경", "근경(1)", "근경(2)", "사진", "ab"]
-    assert names(template="{도면명칭}_{번호}_{이름}")[:2] == ["대전_01_전경", "대전_02_근경(1)"]
+    assert names(template="{도면명칭}_{번호}_{이름}")[:2] == ["나주_01_전경", "나주_02_근경(1)"]
 
 
 def test_targets_do_not_collide(spark):
