@@ -8,7 +8,9 @@ written by each worker to an unlinked temporary file and memory-mapped. Words th
 merged exactly by rank. The lexicon saves merging and never changes an id.
 
 A text may be cut before any space that follows a character other than white space, as no token
-reaches over such a place; so words are looked up one by one, as whole pieces.
+reaches over such a place; so words are looked up as whole pieces, each distinct one of a slice once, and
+the ids of a slice are gathered from those of its words by array operations. Texts with a
+space after white space, or with a special token's string, go piece by piece.
 
 Defined results: null and empty texts have no ids; the special token's string in a text is its
 id, as in the tokenizers library's default; repeated rows give repeated results; null ids pass
@@ -30,6 +32,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,10 @@ from tesserae.llm.common import slices, text_of
 #: Words kept by a partition's summary of counts, and pieces a worker remembers.
 SUMMARY_WORDS = 100_000
 REMEMBERED = 250_000
+SLICE_BYTES = 8 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_ODD_SPACE = re.compile(r"\s ")
+# Fixed value: Unicode white space, as the tokenizers' patterns see it.
+_WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 # --------------------------------------------------------------------------- vocabulary
@@ -203,6 +209,7 @@ class Encoder:
         self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(image) if image else None
         self._after_space = _Pieces(self._piece, self._word)
+        self._newline = self._piece("\n")
 
     def _word(self, word: bytes) -> bytes:
         ids = self.lexicon.get(word) if self.lexicon else None
@@ -213,19 +220,68 @@ class Encoder:
         return array("I", self.vocabulary.merge(piece) if ids is None else ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            first, *rest = _BEFORE_SPACE.split(text)
-            return b"".join([self._piece(first), *[self._after_space[p[1:]] for p in rest]])
-        first, *rest = text.split(" ")
-        return b"".join([self._piece(first), *map(self._after_space.__getitem__, rest)])
+        first, *rest = _BEFORE_SPACE.split(text)
+        return b"".join([self._piece(first), *[self._after_space[p[1:]] for p in rest]])
 
     def encode(self, text: str) -> bytes:
         parts = self.vocabulary.parts(text)
-        if len(parts) == 1:
-            return self._plain(text)
         special = self.vocabulary.special
         return b"".join(array("I", [special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
+    def _line_start(self, piece: str) -> bytes:
+        return self._newline + self._piece(piece[1:])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and where each text's ids end. No null among the texts."""
+        odd = pc.match_substring_regex(texts, _WHITE + r"[ \n]|\n" + _WHITE)
+        for s in self.vocabulary.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        # A line break that stands alone is a token of its own: it gets a cut before it, too.
+        plain = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
+        lists = pc.split_pattern(plain, " ")
+        words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("i8"))
+        starts = np.concatenate([np.zeros(1, "i8"), ends[:-1]]) if len(ends) else np.zeros(0, "i8")
+        coded, firsts = words.dictionary_encode(), words.take(pa.array(starts)).dictionary_encode()
+        place = coded.indices.to_numpy().astype("i8")
+        place[starts] = firsts.indices.to_numpy() + len(coded.dictionary)  # no space before a text's first word
+        ids = [self._line_start(w) if w[:1] == "\n" else self._after_space[w] for w in _strings(coded.dictionary)]
+        ids += [self._line_start(w) if w[:1] == "\n" else self._piece(w) for w in _strings(firsts.dictionary)]
+        out, done = _gathered(ids, place)
+        if not odd.any():
+            return out, done[ends - 1]
+        each = np.split(out, done[ends - 1][:-1]) if len(ends) else []
+        parts, left = [], iter(each)
+        for text, slow in zip(texts.to_pylist(), odd.tolist(), strict=True):
+            parts.append(np.frombuffer(self.encode(text), "<u4") if slow else next(left))
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(values: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[i] for every i in place, end to end, as unsigned 32-bit numbers, and where each one ends."""
+    flat = np.frombuffer(b"".join(values), "<u4")
+    size = np.array([len(v) >> 2 for v in values], "i8")
+    start = np.cumsum(size) - size
+    n = size[place]
+    ends = np.cumsum(n)
+    at = np.repeat(start[place] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return flat[at], ends
+
+
+def by_bytes(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes together, and at least one each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, to
+        at = to
+
 
 def frequent_words(docs: DataFrame, n: int, text_col: str = "text") -> list[str]:
     """The n commonest space-separated words over all texts.
@@ -262,14 +318,18 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(image)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path, shared.value)
-        for pdf in slices(batches):
-            ids = [encoder.encode(t) for t in pdf["t"]]
-            yield pd.DataFrame({"i": pdf["i"], "ids": ids, "n": [len(x) // 4 for x in ids]})
+        for batch in batches:
+            texts = batch.column("t")
+            for a, b in by_bytes(texts):
+                ids, ends = encoder.encode_all(texts[a:b])
+                offsets = np.concatenate([np.zeros(1, "i8"), ends]) * 4
+                binary = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("i")[a:b], binary, pa.array(np.diff(offsets) // 4)], names=["i", "ids", "n"])
 
     rows = docs.select(docs[id_col].alias("i"), text_of(docs, text_col).alias("t"))
-    return rows.mapInPandas(encode, f"i {kind}, ids binary, n long").toDF(id_col, "ids", "n_tokens")
+    return rows.mapInArrow(encode, f"i {kind}, ids binary, n long").toDF(id_col, "ids", "n_tokens")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id") -> DataFrame:
