@@ -70,7 +70,7 @@ def test_lines_of_odd_texts(docs):
         texts.setdefault(r.doc_id, []).append((r.text, r.n_chars))
     assert texts[3] == [(None, None)] and texts[4] == [("", 0)] and texts[2] == [("", 0)]
     assert texts[1] == [(GOOD, len(GOOD))] * 2 and texts[None] == [(GOOD, len(GOOD))]
-    assert texts[7] == [("", 0)] and texts[9] == [("Zeile eins\n\nZeile eins", 22)]
+    assert texts[7] == [("", 0)] and texts[9] == [("Zeile eins\n", 11)]
 
 
 def test_media_of_empty_texts(docs):

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,42 @@ def test_lines_as_brute_force(spark, docs, texts):
     assert got == want and near > 5
 
 
+def test_words_of_lines(monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    texts = ["", "\n", " a\n\n b", "x", "日本 語ab\nthe", "a\tb\x0bc\r", "long" * 40, "é é", "\n\n"] + ["".join(rnd.choice("ab \n\té日") for _ in range(rnd.randrange(30))) for _ in range(300)]
+    want = []
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.encode().split(b"\n")):
+            w = line.decode().replace("日", " 日 ").replace("本", " 本 ").replace("語", " 語 ").encode().split()
+            want += [(i, k, w)] if w else []
+    whole = pa.array(["not this", *texts, "nor this"])[1:-1]
+    for window in (1 << 20, 7):
+        monkeypatch.setattr(line_dedup, "WINDOW", window)
+        hashes, counts, text, number = line_dedup.lines_of(whole)
+        assert list(zip(text.tolist(), number.tolist(), counts.tolist(), strict=True)) == [(i, k, len(w)) for i, k, w in want]
+        by_word, by_hash = defaultdict(set), defaultdict(set)
+        for w, h in zip([x for *_, w in want for x in w], hashes.tolist(), strict=True):
+            by_word[w].add(h)
+            by_hash[h].add(w)
+        assert all(len(v) == 1 for v in [*by_word.values(), *by_hash.values()])
+        same = defaultdict(set)
+        for (*_, w), h in zip(want, line_dedup.line_hashes(hashes, counts).tolist(), strict=True):
+            same[h].add(tuple(w))
+        assert all(len(v) == 1 for v in same.values())
+    assert len(line_dedup.lines_of(pa.array([], pa.string()))[1]) == 0
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    rows = [(1, "click here\n春の海ひねもすのたりのたりかな\nMonday"), (2, "Click here\nclick  here\n春の海ひねもすのたりのたりかも\n春の山"), (3, "Monday\n\nTuesday"), (None, "Monday")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(df).collect()}
+    assert got == {1: rows[0][1], 2: "Click here\n春の山", 3: "\nTuesday", None: "Monday"}
+    equal = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(df, near=False).collect()}
+    assert equal[2] == "Click here\n春の海ひねもすのたりのたりかも\n春の山" and equal[3] == "\nTuesday"
+
+
 def test_match():
     a = "a b c d e f g h".split()
     assert line_dedup.match(a, a) and line_dedup.match(a, a[1:]) and line_dedup.match(a[:-1], a[1:])
@@ -126,7 +163,7 @@ def test_matching_lines_share_a_sample_key():
 
     rnd = random.Random(7)
     for _ in range(300):
-        a = [str(rnd.randrange(50)).encode() for _ in range(rnd.randrange(8, 60))]
+        a = [str(rnd.randrange(rnd.choice((3, 50, 5000)))).encode() for _ in range(rnd.randrange(8, 60))]
         b = list(a)
         k = rnd.randrange(len(a))
         kind = rnd.randrange(3)
@@ -136,9 +173,11 @@ def test_matching_lines_share_a_sample_key():
             del b[k]
         else:
             b.insert(k, b"new%d" % rnd.randrange(10**6))
-        who, keys = line_dedup.sample_keys([a, b])
+        hashes, counts, *_ = line_dedup.lines_of(pa.array([(b" ".join(a) + b"\n" + b" ".join(b)).decode()]))
+        assert counts.tolist() == [len(a), len(b)]
+        who, keys = line_dedup.sample_keys(hashes, counts)
         assert set(keys[who == 0]) & set(keys[who == 1])
-        number, value = line_dedup.variants([a, b])
+        number, value = line_dedup.variants(hashes, counts)
         assert set(value[number == 0]) & set(value[number == 1])
 
 
