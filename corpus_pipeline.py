@@ -8,9 +8,10 @@ of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserae.llm import line_dedup, near_dedup, packing, quality_model, quality_rules
-from tesserae.llm.common import staged, table
+from tesserae.llm.common import own_name, staged, table
 from tesserae.llm.queries import tokenizer_path
 
 NEAR_PERCENT = 80
@@ -29,8 +30,10 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document or line already has go; no document goes."""
-    return line_dedup.drop_duplicate_lines(docs)
+    """Lines that an earlier document or line already has go, and with them documents that have no word left (later copies)."""
+    gone = own_name(docs, "_gone")
+    left = line_dedup.drop_duplicate_lines(docs, removed=gone)
+    return left.filter((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(gone)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
