@@ -132,3 +132,11 @@ def test_stages(spark, docs, sf, stage):
         assert out.columns == docs.columns
     assert out.count() > 0
     assert work(spark, docs.limit(0), sf).count() == 0
+
+
+def test_documents_that_lose_all_words_go(spark, docs, sf):
+    name, work = corpus_pipeline.STAGES[2]
+    assert name == "line dedup"
+    got = sorted((r.doc_id or 0, r.text) for r in work(spark, docs, sf).collect())
+    want = [(0, GOOD), (1, GOOD), (1, GOOD), (3, None), (4, ""), (5, " \t\n\x0b "), (6, LONG), (8, "The."), (9, "Zeile eins\n")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
