@@ -54,6 +54,11 @@ def test_marked_pages_keep_their_article(spark, sf):
         ("<article><p>one<aside>side</aside>two</article>", "one two"),
         ("<article><p class='cookie-notice'>no<p>yes<li>q<li>r", "yes q r"),
         ("<article>a<span hidden>b</span>c <i>d</i>e</article>", "ac de"),
+        ("<article><section id='share-prices'>Prices</section><div class='share'>Tweet</div><ul class=comments-list><li>reader</ul>x</article>", "Prices x"),
+        ("<article>a<i>b<p>c</i>d</p></article>", "ab cd"),
+        ("<p>x</b></b>y</div>z", "xy z"),
+        ("<article>a <a href='x>y</a> c</article>", "a y c"),
+        ("a < b <3 <!doctype html>c", "a < b <3 c"),
         ("", ""),
     ],
 )
@@ -71,6 +76,70 @@ def test_host_runs_are_boilerplate(spark):
     assert text[10] == menu and text[11] == text[0]
 
 
+def suffix_array_cover(streams, least):
+    """Places of each stream inside a substring of that many tokens that another stream has: by a plain suffix array."""
+    suffixes = sorted((s[i:], k, i) for k, s in enumerate(streams) for i in range(len(s)))
+    covered = [set() for _ in streams]
+    for a, (x, k, i) in enumerate(suffixes):
+        for step in (-1, 1):
+            b, common = a + step, len(x)
+            while 0 <= b < len(suffixes) and common >= least:
+                y, other, _ = suffixes[b]
+                common = min(common, next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))))  # noqa: B905
+                if other != k and common >= least:
+                    covered[k] |= set(range(i, i + common))
+                    break
+                b += step
+    return covered
+
+
+def test_prefix_groups_cover_what_a_suffix_array_does():
+    import random
+
+    rnd = random.Random(4)
+    streams = [[rnd.choice("abc") for _ in range(60)] for _ in range(6)]
+    groups = defaultdict(set)
+    for k, s in enumerate(streams):
+        for x in html_text._stream([" ".join(s)])[0]:
+            groups[x].add(k)
+    want = suffix_array_cover(streams, html_text.RUN)
+    for k, s in enumerate(streams):
+        covered = {i + d for i, x in enumerate(html_text._stream([" ".join(s)])[0]) if len(groups[x]) > 1 for d in range(html_text.RUN)}
+        assert covered == want[k]
+    assert any(want) and not all(len(w) == 60 for w in want)
+
+
+def test_articles_without_marks(spark):
+    """What repeats on many pages of a host goes, copied articles stay."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "w" + str(rnd.randrange(10**6))
+    menu, note = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(9))
+    body = [[" ".join(word() for _ in range(rnd.randrange(8, 40))) for _ in range(4)] for _ in range(20)]
+    body += [list(body[0]), [*body[1][:3], body[1][3] + " " + word()]]  # a copy and a near copy
+    html = [f"<div>{menu}</div>" + "".join(f"<p>{p}</p>" for p in b) + f"<div>{note} {k}</div>" for k, b in enumerate(body)]
+    pages = [(k, "http://h.example/" + str(k), h) for k, h in enumerate(html)]
+    lead = " ".join(word() for _ in range(30))
+    pages += [(100, None, html[0]), (101, "http://h.example/m", f"<article><p>{lead}</p><div class='share-this'>{note} 1</div><div class='share-prices'>{word()} {word()}</div></article>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == " ".join(b) for k, b in enumerate(body))
+    assert got[100].startswith(menu) and got[101].startswith(lead + " w") and note not in got[101]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000 + '"', "<div>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "<div></div>" * 100_000, "<b><p>" * 50_000 + "</b>" * 100_000, "<!--" * 200_000, "<script>" * 100_000, "<p '\"" * 150_000, "<" * 10**6],
+    ids=range(8),
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 3
+
+
 def test_unique_runs_stay():
     assert html_text.keep_unique(["a b c", "d e f g h i"], range(0)) == ["a b c", "d e f g h i"]
     assert html_text.keep_unique(["a b c d e f", "x y"], [0]) == ["x y"]
