@@ -209,7 +209,12 @@ def normalise_archives(files: DataFrame, drop_source: bool = True) -> DataFrame:
                     _at(path)[0].delete_file(_at(path)[1])
                 yield pd.DataFrame({"path": [target], "n_records": [n]})
 
-    return files.mapInPandas(rewrite, "path string, n_records long")
+    return _spread(files).mapInPandas(rewrite, "path string, n_records long")
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """A task per file or so: the list of files is small, and what it names is not."""
+    return files.repartition(max(1, files.count()), "path")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def read_archives(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    return files.mapInPandas(read, schema)
+    return _spread(files).mapInPandas(read, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
