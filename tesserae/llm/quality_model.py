@@ -11,7 +11,8 @@ from the text alone.
 
 Defined results: null and empty texts are scored as texts without words; null ids pass through
 and are not held out; several labels of one document count as their mean, rounded; null labels
-are left out; without any labelled row every score is 1; repeated rows get repeated results.
+are left out; without any labelled row every score is 1; repeated rows get repeated results; of several texts
+of one labelled document the one with the smallest measurements is learnt from, so a fit can be repeated.
 """
 
 from __future__ import annotations
@@ -198,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"i": pdf["i"], "y": pdf["y"], "x": list(measure_all(pdf["t"]))})
 
     kind = rows.schema["i"].dataType.simpleString()
-    sample = rows.mapInPandas(values, f"i {kind}, y double, x array<double>").dropDuplicates(["i"]).toPandas().sort_values("i")
+    sample = rows.mapInPandas(values, f"i {kind}, y double, x array<double>")
+    sample = sample.groupBy("i").agg(F.min(F.struct("x", "y")).alias("r")).select("i", "r.*").toPandas().sort_values("i")
     return fit(np.array(sample["x"].tolist()).reshape(-1, len(FEATURES)), sample["y"].to_numpy())
 
 
