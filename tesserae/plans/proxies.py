@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def likeness(ncc: Column, distance: Column) -> Column:
 
 
 _SCORED = f"""{_BITS},
-m AS (SELECT query_id, vec_id, distance, qe, xe, list_avg(qe) AS ma, list_avg(xe) AS mb FROM r WHERE rank <= 20),
+m AS (SELECT query_id, vec_id, distance, qe, xe, list_avg(qe) AS ma, list_avg(xe) AS mb FROM r WHERE rank <= 400),
 n AS (SELECT query_id, vec_id, distance,
         list_sum(list_transform(range(1, 65), lambda i: (qe[i] - ma) * (xe[i] - mb))) /
         (sqrt(list_sum(list_transform(qe, lambda v: (v - ma) * (v - ma)))) * sqrt(list_sum(list_transform(xe, lambda v: (v - mb) * (v - mb))))) AS ncc FROM m),
@@ -86,7 +87,7 @@ _VERDICT = """CASE WHEN score >= 0.86 AND margin >= 0.05 THEN '확실' WHEN scor
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, x = _vectors(spark, sf_dir)
     q = q.withColumnRenamed("vec_id", "query_id")
-    near = _nearest(q, x, 20).drop("rank")
+    near = _nearest(q, x, S.SHORTLIST).drop("rank")
     both = near.join(q.select("query_id", F.col("e").alias("qe")), "query_id").join(x.select("vec_id", F.col("e").alias("xe")), "vec_id")
     scored = both.select("query_id", "vec_id", "distance", F.round(likeness(S.ncc(F.col("qe"), F.col("xe")), F.col("distance")), 4).alias("score"))
     ranked = R.ranked(scored, "query_id", [F.desc("score"), F.col("vec_id")])
@@ -382,16 +383,15 @@ def neighbour_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.neighbours(_table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "role", "prev_text", "next_text")
 
 
-@query("""WITH s AS (SELECT list_sort(list(DISTINCT event_type)) AS x FROM events),
-v AS (SELECT user_id, date_trunc('hour', ts) AS hour, list_distinct(list(event_type)) AS d FROM events, s WHERE event_type IN (x[1], x[2]) GROUP BY 1, 2),
-t AS (SELECT user_id, count(*) FILTER (WHERE d[1] = x[1]) AS a, count(*) FILTER (WHERE d[1] = x[2]) AS b, any_value(x) AS x FROM v, s WHERE len(d) = 1 GROUP BY 1)
-SELECT user_id, CASE WHEN a > b THEN x[1] ELSE x[2] END AS winner FROM t WHERE a <> b""")
+@query("""WITH v AS (SELECT user_id, date_trunc('hour', ts) AS hour, list(DISTINCT CASE WHEN length(event_type) % 2 = 0 THEN 'even' ELSE 'odd' END) AS d FROM events GROUP BY 1, 2),
+t AS (SELECT user_id, count(*) FILTER (WHERE d[1] = 'even') AS a, count(*) FILTER (WHERE d[1] = 'odd') AS b FROM v WHERE len(d) = 1 GROUP BY 1)
+SELECT user_id, CASE WHEN a > b THEN 'even' ELSE 'odd' END AS winner FROM t WHERE a <> b""")
 def direction_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's hours vote for the first or second kind of event."""
+    """A user's hours vote for kinds of events whose names have an even or an odd number of letters."""
     e = _table(spark, sf_dir, "events")
-    sides = tuple(r.event_type for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect())
-    votes = e.filter(F.col("event_type").isin(*sides)).select("user_id", F.date_trunc("hour", "ts").alias("hour"), "event_type")
-    return R.direction_votes(votes, ["hour"], ["user_id"], "event_type", sides)
+    side = F.when(F.length("event_type") % 2 == 0, "even").otherwise("odd")
+    votes = e.select("user_id", F.date_trunc("hour", "ts").alias("hour"), side.alias("side"))
+    return R.direction_votes(votes, ["hour"], ["user_id"], "side", ("even", "odd"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_name, p_size, CASE WHEN p_size >= 40 THEN '확실' WHEN p_size >= 20 THEN '확인필요' ELSE '못찾음' END AS verdict, CASE WHEN p_partkey % 5 = 0 THEN 'JPEG' ELSE lower(p_brand) END AS ext FROM part)
@@ -437,7 +437,12 @@ def first_and_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(R.last_value(rows, ["conv_id", "role"], "text", ["turn"]).withColumnRenamed("text", "last_text"), ["conv_id", "role"])
 
 
-@query()
+@query(f"""WITH {_SCORED},
+b AS (SELECT e.label, query_id, g.vec_id, score, {_VERDICT} AS verdict FROM g JOIN embeddings e ON e.vec_id = query_id WHERE rank = 1),
+y AS (SELECT b.*, g.vec_id AS next_id, g.score AS next_score, row_number() OVER (PARTITION BY b.label, b.vec_id ORDER BY b.score DESC, b.query_id) AS k
+      FROM b LEFT JOIN g ON g.query_id = b.query_id AND g.rank = 2)
+SELECT CAST(label AS VARCHAR) AS doc, query_id AS doc_order, CAST(CASE WHEN k > 1 THEN next_id ELSE vec_id END AS VARCHAR) AS path,
+round(CASE WHEN k > 1 THEN next_score ELSE score END, 4) AS score, CASE WHEN k = 1 THEN verdict WHEN next_id IS NULL THEN '못찾음' ELSE '확인필요' END AS verdict FROM y""")
 def exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with one label are a document; no two of its queries may keep the same original."""
     from tesserae.operators.matching import assign_exclusive
@@ -469,3 +474,131 @@ def caption_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<int>").alias("inline_ids"),
     )
     return resolve_captions(cell).select("doc", "row", "col", "bin_id", "caption", "band", "caption_source")
+
+
+_CANDIDATES = """b AS (SELECT CAST(l_orderkey AS VARCHAR) AS query_id, 'p' || l_partkey || '-' || l_linenumber AS path, (CAST(floor(l_extendedprice) AS BIGINT) % 1000) / 1000.0::DOUBLE AS score,
+  CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 0 THEN CASE l_orderkey % 4 WHEN 0 THEN '사진 고유 ID' WHEN 1 THEN '촬영시각+1/100초+기종' WHEN 2 THEN '촬영시각+기종' ELSE '촬영시각' END ELSE '' END AS exif_key,
+  l_suppkey % 6 = 0 AS name_match, l_partkey % 5 = 0 AS exif_conflict, l_linenumber = 3 AS mirrored, l_linestatus = 'O' AS identical_file,
+  150 + l_partkey % 200 AS width, 100 + l_suppkey % 100 AS height, CAST(l_quantity AS BIGINT) AS size, CASE WHEN l_returnflag = 'R' THEN 'u' || l_partkey % 3 ELSE '' END AS uid FROM lineitem)"""
+
+
+@query(f"""WITH {_CANDIDATES},
+r AS (SELECT *, width * height AS area, row_number() OVER (PARTITION BY query_id, exif_conflict ORDER BY exif_key <> '' DESC, name_match DESC, score DESC, path) AS nth,
+  exif_key <> '' AND NOT exif_conflict AS keyed, name_match AND NOT exif_conflict AS named FROM b),
+v AS (SELECT *, keyed AND row_number() OVER (PARTITION BY query_id, keyed, CASE WHEN keyed AND uid <> '' THEN uid ELSE 'n' || exif_conflict || nth END ORDER BY area DESC, size DESC, nth) = 1 AS kept FROM r),
+h AS (SELECT *, CASE WHEN kept THEN row_number() OVER (PARTITION BY query_id, kept ORDER BY score DESC, path) END AS hit FROM v),
+s AS (SELECT query_id, count(*) FILTER (WHERE NOT exif_conflict) AS n_clean, count(*) FILTER (WHERE kept) AS n_hits, count(*) FILTER (WHERE named) AS n_named, max(score) FILTER (WHERE named) AS named_score,
+  max(score) FILTER (WHERE hit = 1) AS h1, max(score) FILTER (WHERE hit = 2) AS h2, bool_or(kept AND exif_key <> '촬영시각') AS strong, max(score) FILTER (WHERE NOT exif_conflict AND nth = 1) AS c1,
+  coalesce(max(score) FILTER (WHERE NOT exif_conflict AND nth = 2), 0) AS c2 FROM h GROUP BY 1),
+d AS (SELECT *, CASE WHEN n_clean = 0 THEN 'other' WHEN n_hits > 1 AND h1 - h2 < 0.02 THEN 'burst' WHEN n_hits > 1 THEN 'closest' WHEN n_hits = 1 AND h1 < 0.45 THEN 'unlike' WHEN n_hits = 1 THEN 'key'
+  WHEN n_named = 1 AND named_score >= 0.45 THEN 'name' WHEN c1 >= 0.86 AND c1 - c2 >= 0.05 THEN 'clear' WHEN c1 >= 0.86 THEN 'several' WHEN c1 >= 0.62 THEN 'alike' ELSE 'nothing' END AS kind FROM s),
+e AS (SELECT h.*, d.kind, CASE WHEN kind IN ('closest', 'key') THEN CASE WHEN strong THEN '확실' ELSE '확인필요' END WHEN kind IN ('name', 'clear') THEN '확실' WHEN kind IN ('other', 'nothing') THEN '못찾음' ELSE '확인필요' END AS verdict,
+  CASE WHEN kind = 'other' THEN nth WHEN kind IN ('burst', 'closest') THEN hit WHEN kind IN ('unlike', 'key') THEN CASE WHEN kept THEN 0 WHEN NOT exif_conflict THEN nth END
+  WHEN kind = 'name' THEN CASE WHEN named THEN 0 WHEN NOT exif_conflict THEN nth END WHEN kind = 'nothing' THEN CASE WHEN exif_conflict AND nth <= 2 THEN nth - 10 WHEN NOT exif_conflict THEN nth END
+  WHEN NOT exif_conflict THEN nth END AS turn FROM h JOIN d ON h.query_id = d.query_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn) AS place FROM e WHERE turn IS NOT NULL) WHERE place <= 4),
+f AS (SELECT p.*, x.area AS best_area, p.path = x.path OR p.uid <> '' AND p.uid = x.uid AS same FROM p JOIN p x ON x.query_id = p.query_id AND x.place = 1),
+o AS (SELECT *, verdict <> '못찾음' AND same AND place > 1 AND area >= best_area * 1.3 AND row_number() OVER (PARTITION BY query_id, same ORDER BY area DESC, size DESC, place) = 1 AS promoted FROM f),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY promoted DESC, place) AS seat FROM o),
+w AS (SELECT query_id, path, area, CASE WHEN verdict = '못찾음' THEN verdict WHEN area / 40000.0 < 1.2 OR mirrored AND score < 0.97 AND (kind = 'several' AND promoted AND score >= 0.86 OR verdict = '확실') THEN '확인필요'
+  WHEN kind = 'several' AND promoted AND score >= 0.86 THEN '확실' ELSE verdict END AS verdict FROM t WHERE seat = 1)
+SELECT w.query_id, w.verdict, CASE WHEN w.verdict <> '못찾음' THEN w.path END AS best, CASE WHEN w.verdict <> '못찾음' THEN CAST(w.area AS BIGINT) END AS best_area,
+(SELECT string_agg(t.path, ' ' ORDER BY t.seat) FROM t WHERE t.query_id = w.query_id AND (w.verdict = '못찾음' OR t.seat > 1)) AS others FROM w""")
+def verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines are candidates for one picture; the engine's whole decision over them: keys, names, versions, warnings."""
+    from tesserae.operators import matching as M
+
+    rows = _table(spark, sf_dir, "lineitem")
+    c, whole = F.col, F.col("l_quantity").cast("long")
+    keys = F.array(*[F.lit(k) for k in (S.KEY_UID, S.KEY_SUBSEC, S.KEY_MODEL, S.KEY_TIME)])
+    none = {"taken_at": "string", "subsec": "string", "model": "string", "head_sha1": "string", "dhash": "array<bigint>", "phash": "bigint", "gray": "array<double>", "tiles": "array<double>"}
+    found = rows.select(
+        c("l_orderkey").cast("string").alias("query_id"), F.lit(40_000).cast("long").alias("pixels"), F.concat(F.lit("p"), "l_partkey", F.lit("-"), "l_linenumber").alias("path"),
+        (F.floor("l_extendedprice") % 1000 / 1000.0).alias("score"), F.when(whole % 5 == 0, F.get(keys, (c("l_orderkey") % 4).cast("int"))).otherwise("").alias("exif_key"),
+        (c("l_suppkey") % 6 == 0).alias("name_match"), (c("l_partkey") % 5 == 0).alias("exif_conflict"), F.when(c("l_linenumber") == 3, S.MIRRORED).otherwise(S.AS_IS).alias("orientation"),
+        (c("l_linestatus") == "O").alias("identical_file"), (150 + c("l_partkey") % 200).cast("int").alias("width"), (100 + c("l_suppkey") % 100).cast("int").alias("height"), whole.alias("size"),
+        F.when(c("l_returnflag") == "R", F.concat(F.lit("u"), (c("l_partkey") % 3).cast("string"))).otherwise("").alias("unique_id"), F.lit(True).alias("has_visual"), F.lit(False).alias("refined"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()],
+    )
+    decided = M.decide(found, found.select("query_id").distinct())
+    others = F.nullif(F.array_join(F.transform("runners_up", lambda p: p["path"]), " "), F.lit(""))
+    return decided.select("query_id", "verdict", F.col("best.path").alias("best"), F.round(F.col("best.size_ratio") * 40_000).cast("long").alias("best_area"), others.alias("others"))
+
+
+# --------------------------------------------------------------------------- parsers, over bytes made from the tables
+
+
+def _le(value: Column, n: int) -> Column:
+    """A number as n bytes, smallest first."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(n)])
+
+
+@query("""SELECT doc_id, len(l) AS n_records, list_sum(list_transform(l, lambda x: strlen(x))) AS n_bytes, CAST(max_level AS INT) AS max_level
+FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: left(x, 2000)) AS l, least(len(string_split(text, chr(10))) - 1, 9) AS max_level FROM documents)""")
+def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line (its first 2,000 letters, as records with 12-bit and with long sizes need) is a record of a level; the streams are scanned."""
+    from tesserae.sources import hwp5
+
+    lines = F.transform(F.split("text", "\n"), lambda x: F.encode(F.left(x, F.lit(2000)), "UTF-8"))
+    level = lambda i: F.least(i, F.lit(9))
+    size = lambda x: F.length(x)
+    head = lambda x, i: F.lit(66) + F.shiftleft(level(i).cast("long"), 10) + F.shiftleft(F.least(size(x), F.lit(0xFFF)).cast("long"), 20)
+    record = lambda x, i: F.concat(_le(head(x, i), 4), F.when(size(x) >= 0xFFF, _le(size(x), 4)).otherwise(F.lit(b"")), x)
+    stream = F.aggregate(F.transform(lines, record), F.lit(b""), lambda a, x: F.concat(a, x))
+
+    @F.pandas_udf("n_records long, n_bytes long, max_level int")
+    def scan(data: pd.Series) -> pd.DataFrame:
+        found = [list(hwp5.records(x, strict=True)) for x in data]
+        return pd.DataFrame({"n_records": [len(f) for f in found], "n_bytes": [sum(len(r.payload) for r in f) for f in found], "max_level": [max(r.level for r in f) for f in found]})
+
+    return _table(spark, sf_dir, "documents").select("doc_id", scan(stream).alias("r")).select("doc_id", "r.*")
+
+
+@query("""SELECT conv_id, turn, regexp_replace(text, '[\x00-\x1F]', ' ', 'g') || chr(9) || 'x' || chr(10) AS text FROM conversations""")
+def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as UTF-16 with a wide control (a tab and seven more units), a hidden one and a paragraph's end, decoded."""
+    from tesserae.sources import hwp5
+
+    clean = F.regexp_replace("text", r"[\x00-\x1F]", " ")
+    tail = b"\x09\0" + b"\x41\0" * 7 + b"\x03\0" + b"\x42\0" * 7 + b"x\0" + b"\x0d\0"
+    payload = F.concat(F.encode(clean, "UTF-16LE"), F.lit(tail))
+
+    @F.pandas_udf("string")
+    def decode(data: pd.Series) -> pd.Series:
+        return data.map(hwp5.paragraph)
+
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", decode(payload).alias("text"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS taken_at, CAST(o_orderkey % 100 AS VARCHAR) AS subsec, trim(o_orderpriority) AS model, CAST(1 + o_orderkey % 8 AS INT) AS orientation,
+CAST(o_custkey AS INT) AS exif_width FROM orders""")
+def exif_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as TIFF structures (two directories, inline and far values), read by the header reader."""
+    from tesserae.functions import imaging as I
+
+    def directory(at: Column, entries: list[tuple[int, int, Column, Column]], last: Column) -> tuple[Column, Column]:
+        """Bytes of a directory at ``at`` and where it ends. Entries: tag, type, count, value bytes."""
+        far, head, data = at + 2 + 12 * len(entries) + 4, [], []
+        for tag, kind, count, value in entries:
+            fits = F.length(value) <= 4
+            own = F.when(fits, F.substring(F.concat(value, F.lit(b"\0\0\0\0")), 1, 4)).otherwise(_le(far, 4))
+            head.append(F.concat(_le(F.lit(tag), 2), _le(F.lit(kind), 2), _le(count, 4), own))
+            data.append(F.when(fits, F.lit(b"")).otherwise(value))
+            far = far + F.when(fits, 0).otherwise(F.length(value))
+        return F.concat(_le(F.lit(len(entries)), 2), *head, _le(last, 4), *data), far
+
+    text = lambda c: F.concat(F.encode(c, "UTF-8"), F.lit(b"\0"))
+    row = lambda tag, c: (tag, 2, F.length(text(c)), text(c))
+    model, taken, subsec = F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"), (F.col("o_orderkey") % 100).cast("string")
+    turned = (0x0112, 3, F.lit(1), _le(1 + F.col("o_orderkey") % 8, 2))
+    top = lambda pointer: directory(F.lit(8), [row(0x0110, model), turned, (0x8769, 4, F.lit(1), _le(pointer, 4))], F.lit(0))
+    _, sub_at = top(F.lit(0))
+    sub, _ = directory(sub_at, [row(0x9003, taken), row(0x9291, subsec), (0xA002, 4, F.lit(1), _le(F.col("o_custkey"), 4))], F.lit(0))
+    blob = F.concat(F.lit(b"II*\0"), _le(F.lit(8), 4), top(sub_at)[0], sub)
+
+    @F.pandas_udf("taken_at string, subsec string, model string, orientation int, exif_width int")
+    def read(data: pd.Series) -> pd.DataFrame:
+        found = [I.exif_of(x) for x in data]
+        return pd.DataFrame({k: [f[k] for f in found] for k in ("taken_at", "subsec", "model", "orientation", "exif_width")})
+
+    return _table(spark, sf_dir, "orders").select("o_orderkey", read(blob).alias("r")).select("o_orderkey", "r.*")
