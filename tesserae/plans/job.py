@@ -175,8 +175,7 @@ def _run(spark: SparkSession, config: Config, result: Result, work: str, say: Ca
     planned = keep(planned, "plan")
     if not config.dry_run:
         if config.overwrite:
-            for r in placement.stale_files(planned, existing).toLocalIterator():
-                os.remove(r.target)
+            placement.remove(placement.stale_files(planned, existing))
         planned = keep(placement.carry_out(planned, documents.items), "placed")
     counts = R.histogram(planned, "verdict", [S.CERTAIN, S.REVIEW, S.NOT_FOUND], {"low": (F.col("origin") == placement.LOWRES) & (F.col("skipped") == "")}).collect()
     result.counts = {r.verdict: r.n for r in counts}

@@ -168,6 +168,20 @@ def _local(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
+def remove(files: DataFrame) -> int:
+    """Takes files (target) away, in the tasks that list them; one that is gone already is no error."""
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths = [_local(x) for x in pdf["target"]]
+            there = [x for x in paths if os.path.exists(x)]
+            for x in there:
+                os.remove(x)
+            yield pd.DataFrame({"n": [len(there)]})
+
+    return files.select("target").mapInPandas(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def carry_out(planned: DataFrame, items: DataFrame) -> DataFrame:
     """Copies originals and writes embedded pictures; gives the plan with failures in skipped.
 
