@@ -41,8 +41,8 @@ from tesserae.llm.common import slices, text_of
 
 #: Words kept by a partition's summary of counts, and pieces a worker remembers.
 SUMMARY_WORDS = 100_000
-REMEMBERED = 250_000
-SLICE_BYTES = 8 << 20
+REMEMBERED = 150_000
+SLICE_BYTES = 3 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 # Fixed value: Unicode white space, as the tokenizers' patterns see it.
 _WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -39,7 +39,7 @@ from tesserae.llm.common import own_name, staged, text_of
 MIN_WORDS, MIN_NEAR = 1, 8
 FEW, ENOUGH = 5, 16
 FILTER_BITS = 26
-SLICE_BYTES, WINDOW = 4 << 20, 1 << 20
+SLICE_BYTES, WINDOW = 1 << 20, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _MUL, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
