@@ -2,9 +2,10 @@
 
 ``decode`` reads prefix codes, back-references and the colour cache, inverts the predictor,
 cross-colour, subtract-green and palette transforms, and returns an array of rows x columns x
-(alpha, red, green, blue). Images as ``encode`` writes them (subtract-green, one prefix code with
-literals alone) take a vectorised path: the code's length at every bit is looked up at once, only
-following the chain of lengths goes step by step.
+(alpha, red, green, blue). ``encode`` writes grey images (subtract-green) of literals and back-references to
+repeats of ``LEAST`` samples or more. An image without a repeat has literals of one prefix code alone and
+takes a vectorised path: the code's length at every bit is looked up at once, only following the chain of
+lengths goes step by step.
 
 Payloads are laid out 64 samples to a row, in images of at most 16,384 rows; a longer payload is
 several images in a row, each as long as its RIFF size says.
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from tesserae.llm.common import text_of
 
 WIDTH, MAX_ROWS = 64, 16_384
+# Repeats: their least and greatest length, how many samples a key covers, and one in how many places is looked up (a power of two).
+LEAST, MOST, KEY, SPARSE = 48, 4096, 16, 16
 
 # Fixed values of the format: order of the code-length code's lengths, and near distances (x, y).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -165,6 +168,14 @@ def _span(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+def _distance(bits: Bits, code: Code, width: int) -> int:
+    far = _span(bits, bits.symbol(code))
+    if far > len(NEAR):
+        return far - len(NEAR)
+    x, y = NEAR[far - 1]
+    return max(1, x + y * width)
+
+
 def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """An entropy-coded image as packed ARGB values."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -181,6 +192,10 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         green, red, blue, alpha, _ = codes[0]
         fixed = int(alpha.symbols[0]) << 24 | int(red.symbols[0]) << 16 | int(blue.symbols[0])
         return _literals(bits, green, total).astype("u4") << 8 | np.uint32(fixed)
+    if meta is None and not cache_bits and all(not c.bits for c in codes[0][1:4]) and codes[0][0].bits:
+        green, red, blue, alpha, far = codes[0]
+        fixed = int(alpha.symbols[0]) << 24 | int(red.symbols[0]) << 16 | int(blue.symbols[0])
+        return _copies(bits, green, far, total, width).astype("u4") << 8 | np.uint32(fixed)
     out, cache = [0] * total, [0] * (1 << cache_bits)
     at = kept = 0
 
@@ -200,12 +215,7 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
             at += 1
         elif s < 280:
             n = _span(bits, s - 256)
-            far = _span(bits, bits.symbol(group[4]))
-            if far > 120:
-                far -= 120
-            else:
-                x, y = NEAR[far - 1]
-                far = max(1, x + y * width)
+            far = _distance(bits, group[4], width)
             if far > at or at + n > total:
                 raise Damaged("a back-reference leaves the image")
             for k in range(at, at + n):
@@ -218,19 +228,24 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, "u4")
 
 
-def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
-    """n symbols of one code in a row."""
-    if not code.bits:
-        return np.full(n, code.symbols[0], "u2")
+def _windows(bits: Bits, code: Code, size: int) -> tuple[np.ndarray, int]:
+    """The code's next bits at every bit of so many bytes from where the reader is, and the first of these bytes."""
     first = bits.at >> 3
-    data = np.frombuffer(bits._data, "u1")[first : first + (n * code.bits >> 3) + 4].astype("u4")
+    data = np.frombuffer(bits._data, "u1")[first : first + size].astype("u4")
     data = np.concatenate([data, np.zeros(3, "u4")])
     wide = data[:-2] | data[1:-1] << 8 | data[2:] << 16
     windows = np.empty((len(wide), 8), "u2")
     mask = (1 << code.bits) - 1
     for k in range(8):
         windows[:, k] = wide >> k & mask
-    windows = windows.ravel()
+    return windows.ravel(), first
+
+
+def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
+    """n symbols of one code in a row."""
+    if not code.bits:
+        return np.full(n, code.symbols[0], "u2")
+    windows, first = _windows(bits, code, (n * code.bits >> 3) + 4)
     step = code.lengths[windows]
     place = np.arange(len(step), dtype="i4")
     clip = len(step) - 1
@@ -254,6 +269,58 @@ def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
     return code.symbols[windows[at]]
 
 
+def _copies(bits: Bits, code: Code, far_code: Code, total: int, width: int) -> np.ndarray:
+    """total samples of literals and back-references; literals are followed two at a time up to the next back-reference."""
+    windows, first = _windows(bits, code, len(bits._data))
+    symbol = code.symbols[windows]
+    step = code.lengths[windows]
+    clip = len(step) - 1
+    one = np.where(symbol < 256, step, 0).astype("u1")  # 0: not a literal
+    after = one[np.minimum(np.arange(len(step), dtype="i4") + step, clip)]
+    two = np.where((one > 0) & (after > 0), one + after, 0).astype("u1").tobytes()
+    out, done, at = np.empty(total, "u2"), 0, bits.at - 8 * first
+    while done < total:
+        seen: list[int] = []
+        add = seen.append
+        try:
+            for _ in range((total - done) >> 1):
+                if not (jump := two[at]):
+                    break
+                add(at)
+                at += jump
+            else:
+                jump = 0
+        except IndexError:
+            raise Damaged("the image ends early") from None
+        if seen:
+            even = np.array(seen, "i4")
+            out[done : done + 2 * len(seen) : 2] = symbol[even]
+            out[done + 1 : done + 2 * len(seen) : 2] = symbol[even + step[even]]
+            done += 2 * len(seen)
+        if done == total:
+            break
+        if at > clip:
+            raise Damaged("the image ends early")
+        s, bits.at = int(symbol[at]), at + int(step[at]) + 8 * first
+        if s < 256:
+            out[done] = s
+            done += 1
+        elif s < 280:
+            n = _span(bits, s - 256)
+            far = _distance(bits, far_code, width)
+            if far > done or done + n > total:
+                raise Damaged("a back-reference leaves the image")
+            out[done : done + n] = np.resize(out[done - far : done], n) if far < n else out[done - far : done - far + n]
+            done += n
+        else:
+            raise Damaged("a symbol is out of range")
+        at = bits.at - 8 * first
+    bits.at = at + 8 * first
+    if bits.at > 8 * len(bits._data):
+        raise Damaged("the image ends early")
+    return out
+
+
 # --------------------------------------------------------------------------- inverse transforms
 
 
@@ -445,17 +512,15 @@ class Writer:
                 self.put(int(_OWN_CODES[values[k]]), int(_OWN[values[k]]))
                 k += 1
 
-    def symbols(self, data: np.ndarray, lengths: np.ndarray) -> None:
-        """Symbols of one code, all at once: every code falls on two neighbouring 16-bit words."""
-        if not lengths.any() or np.count_nonzero(lengths) == 1:
+    def bits(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Values of up to 32 bits each, all at once: every one falls on three neighbouring 16-bit words."""
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
             return
-        codes = _mirrored(canonical(lengths), lengths)
-        n = lengths[data]
-        ends = np.cumsum(n)
-        at = ends - n
-        value = codes[data] << (at & 15)
-        word = at >> 4
-        words = np.bincount(word, value & 0xFFFF, int(ends[-1] >> 4) + 2) + np.bincount(word + 1, value >> 16, int(ends[-1] >> 4) + 2)
+        at = ends - sizes
+        wide = values.astype("u8") << (at & 15).astype("u8")
+        word, n = at >> 4, int(ends[-1] >> 4) + 3
+        words = sum(np.bincount(word + k, (wide >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype("f8"), n) for k in range(3))
         self._value |= int.from_bytes(words.astype("<u2").tobytes(), "little") << self._n
         self._n += int(ends[-1])
 
@@ -474,6 +539,51 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body) + 12) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
 
+def repeats(data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of repeats to copy, in order and apart from each other; a run of LEAST + SPARSE * 8 samples that
+    occurred before is found nearly always, whatever its place."""
+    if len(data) < 2 * KEY:
+        return []
+    pair = data[:-1].astype("u8") | data[1:].astype("u8") << np.uint64(8)
+    four = pair[:-2] | pair[2:] << np.uint64(16)
+    eight = four[:-4] | four[4:] << np.uint64(32)
+    key = (eight[: -(KEY - 8)] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[KEY - 8 :] * np.uint64(0xD6E8FEB86659FD93))
+    key *= np.uint64(0xFF51AFD7ED558CCD)
+    places = np.flatnonzero((key >> np.uint64(50)) % np.uint64(SPARSE) == 0)
+    picked = key[places]
+    order = np.argsort(picked, kind="stable")
+    same = np.flatnonzero(picked[order[1:]] == picked[order[:-1]])
+    out, done = [], 0
+    for here, there in sorted(zip(places[order[same + 1]].tolist(), places[order[same]].tolist(), strict=True)):
+        if here < done:
+            continue
+        far = here - there
+        back = min(here - done, there, KEY * SPARSE)
+        differ = np.flatnonzero(data[here - back : here] != data[there - back : there])
+        start = here - back + (int(differ[-1]) + 1 if len(differ) else 0)
+        end = here
+        while end < len(data):
+            part = data[end : end + MOST] != data[end - far : end - far + min(MOST, len(data) - end)]
+            if part.any():
+                end += int(part.argmax())
+                break
+            end += len(part)
+        if end - start >= LEAST:
+            out += [(at, min(MOST, end - at), far) for at in range(start, end, MOST)]
+            done = end
+    return out
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number, of lengths or distances from 1."""
+    v = np.maximum(values - 1, 0)
+    top = np.maximum(np.frexp(v.astype("f8"))[1] - 1, 0)
+    second = v >> np.maximum(top - 1, 0) & 1
+    symbol = np.where(v < 2, v, 2 * top + second)
+    extra = np.where(v < 4, 0, top - 1)
+    return symbol, v & (1 << extra) - 1, extra
+
+
 def encode(samples: np.ndarray) -> bytes:
     """Rows x columns of 8-bit samples as a grey image."""
     height, width = samples.shape
@@ -485,16 +595,52 @@ def encode(samples: np.ndarray) -> bytes:
     w.put(1 | SUBTRACT << 1, 3)  # red and blue are stored as differences from green: 0
     w.put(0, 3)  # no further transform, no colour cache, one group of codes
     data = samples.ravel()
-    lengths = code_lengths(np.bincount(data, minlength=ALPHABETS[0]))
-    w.code(lengths)
-    for value, size in ((0, 256), (0, 256), (255, 256), (0, 40)):
-        own = np.zeros(size, "i8")
-        own[value] = 1
-        w.code(own)
-    w.symbols(data, lengths)
+    found = repeats(data)
+    if not found:
+        green = code_lengths(np.bincount(data, minlength=ALPHABETS[0]))
+        _heads(w, green, _only(0, ALPHABETS[4]))
+        codes, sizes = _written(green)
+        w.bits(codes[data], sizes[data])
+        return riff(w.done())
+    start, length, far = (np.array(x, "i8") for x in zip(*found, strict=True))
+    alone = np.ones(len(data), bool)
+    for at, n, _ in found:
+        alone[at : at + n] = False
+    literal = np.flatnonzero(alone)
+    length_symbol, length_extra, length_bits = _prefixed(length)
+    far_symbol, far_extra, far_bits = _prefixed(far + len(NEAR))  # smaller codes name near places
+    green = code_lengths(np.bincount(data[literal], minlength=ALPHABETS[0]) + np.bincount(256 + length_symbol, minlength=ALPHABETS[0]))
+    distance = code_lengths(np.bincount(far_symbol, minlength=ALPHABETS[4]))
+    _heads(w, green, distance)
+    (codes, sizes), (far_codes, far_sizes) = _written(green), _written(distance)
+    # One list of values: a literal is one of them, a copy four; a stable sort by place puts them in order.
+    value = [codes[data[literal]], codes[256 + length_symbol], length_extra, far_codes[far_symbol], far_extra]
+    size = [sizes[data[literal]], sizes[256 + length_symbol], length_bits, far_sizes[far_symbol], far_bits]
+    order = np.argsort(np.concatenate([literal, start, start, start, start]), kind="stable")
+    w.bits(np.concatenate(value)[order], np.concatenate(size)[order])
     return riff(w.done())
 
 
+def _only(symbol: int, size: int) -> np.ndarray:
+    """A code of one symbol."""
+    out = np.zeros(size, "i8")
+    out[symbol] = 1
+    return out
+
+
+def _heads(w: Writer, green: np.ndarray, distance: np.ndarray) -> None:
+    """The five codes of a grey image: red and blue 0, alpha 255."""
+    for code in (green, _only(0, 256), _only(0, 256), _only(255, 256), distance):
+        w.code(code)
+
+
+def _written(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code and number of bits of each symbol as they are written: a code of one symbol takes none."""
+    if np.count_nonzero(lengths) < 2:
+        return np.zeros(len(lengths), "i8"), np.zeros(len(lengths), "i8")
+    return _mirrored(canonical(lengths), lengths), lengths
+
+
 def store(payload: bytes) -> bytes:
     """A payload of a multiple of WIDTH bytes as images in a row."""
     rows = np.frombuffer(payload, "u1").reshape(-1, WIDTH)

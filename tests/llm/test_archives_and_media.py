@@ -308,3 +308,37 @@ def test_media_query(spark, sf):
         padded = raw + b"\0" * (-len(raw) % 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert by_text.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+
+
+def test_repeats_are_copied_and_read_back():
+    rnd = np.random.RandomState(3)
+    copied = 0
+    for k in range(120):
+        pieces = [rnd.choice(list(b"abcde fg"), rnd.randint(1, 300)).astype("u1").tobytes() for _ in range(3)]
+        text = b"".join(pieces[rnd.randint(3)][rnd.randint(3) :] for _ in range(rnd.randint(1, 40))) + bytes(rnd.randint(0, 256, rnd.randint(50), "u1"))
+        data = np.frombuffer(text, "u1")
+        done = 0
+        for start, length, far in webp.repeats(data):
+            assert done <= start and far <= start and 0 < length <= webp.MOST
+            assert all(data[start + i] == data[start + i - far] for i in range(length))
+            done, copied = start + length, copied + length
+        payload = text + b"\0" * (-len(text) % 64 or 64)
+        assert webp.load(webp.store(payload)).tobytes() == payload
+    assert copied > 50_000
+    line = b"The same line of a text comes again and again, word for word. "
+    assert len(webp.store(line * 64)) < len(line) * 3 and webp.load(webp.store(line * 64)).tobytes() == line * 64
+    run = b"x" * 6400 + b"ab" * 3200
+    assert webp.load(webp.store(run)).tobytes() == run
+
+
+def test_stored_forms_are_what_the_query_tells(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    texts = ["short", "again and again " * 400, "", "é" * 77]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in webp.media_features(webp.to_media(df)).collect():
+        payload = webp.payload_of(texts[r.doc_id])
+        media = webp.store(payload)
+        assert (r.media_bytes, r.media_sha256, r.tail_crc32) == (len(media), hashlib.sha256(media).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (webp.decode(media)[..., 2].tobytes(), r.payload_sha256) == (payload, hashlib.sha256(payload).hexdigest())
