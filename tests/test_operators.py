@@ -353,7 +353,7 @@ def test_folders(spark):
 
 def test_names_are_numbered(spark):
     slots = spark.createDataFrame([("d.hwp", k, c, "구") for k, c in enumerate(["전경", "근경", "근경", "", "a/b"], 1)], "doc string, doc_order int, caption string, band string")
-    none = spark.createDataFrame([("d.hwp", "도면 명칭", "대전")], "doc string, key string, value string")
+    none = spark.createDataFrame([("d.hwp", "도면 명칭", "나주")], "doc string, key string, value string")
     names = lambda **k: [r.name for r in placement.plan_names(slots, none, **k).orderBy("doc_order").collect()]
     assert names() == ["전경", "근경(1)", "근경(2)", "사진", "ab"]
     assert names(template="{도면명칭}_{번호}_{이름}")[:2] == ["나주_01_전경", "나주_02_근경(1)"]
