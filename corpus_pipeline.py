@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet into the
 shared folder and hands what it reads back to the next stage. All but the last return the columns
-of documents.
+of documents. Stages set the session to small Arrow batches, as their rows are whole texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import line_dedup, near_dedup, packing, quality_model, quality_rules
-from tesserae.llm.common import own_name, staged, table
+from tesserae.llm.common import for_texts, own_name, staged, table
 from tesserae.llm.queries import tokenizer_path
 
 NEAR_PERCENT = 80
@@ -19,6 +19,7 @@ NEAR_PERCENT = 80
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' policy rejects go."""
+    for_texts(spark)
     return quality_rules.keep_passing(docs)
 
 
@@ -31,6 +32,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document or line already has go, and with them documents that have no word left (later copies)."""
+    for_texts(spark)
     gone = own_name(docs, "_gone")
     left = line_dedup.drop_duplicate_lines(docs, removed=gone)
     return left.filter((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(gone)
@@ -38,11 +40,13 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays; five-word shingles, similarity of 0.8 or more."""
+    for_texts(spark)
     return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
+    for_texts(spark)
     return packing.pack(docs, tokenizer_path())
 
 
