@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of whole texts. Spark's default of 10,000 is meant for narrow rows.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _fallback_dir: list[str] = []
 
 
+def for_texts(spark: SparkSession) -> SparkSession:
+    """The session, set to Arrow batches of BATCH_ROWS rows at most: what a task holds of long texts stays small on both sides."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = for_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
 
 

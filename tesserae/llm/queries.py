@@ -114,5 +114,41 @@ FROM d LEFT JOIN f ON d.g = f.g AND d.n >= 100
 """
 
 
+#: The tables' pages mark their article and have these character references alone.
+_OP1 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(replace(replace(h, '<b>', ''), '</b>', ''), '<[^>]+>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') AS h FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+_OP2 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
+o AS (SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id, line) AS place FROM w),
+f AS (SELECT place, hash(array_to_string(ws, ' ')) AS v, 0 AS near FROM o WHERE n > 0
+      UNION ALL SELECT place, hash(array_to_string(ws, ' ')), 1 FROM o WHERE n >= 8
+      UNION ALL SELECT place, hash(array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ')), 1 FROM (SELECT place, ws, unnest(range(1, n + 1)) AS i FROM o WHERE n >= 8)),
+e AS (SELECT v, near, min(place) AS first FROM f GROUP BY v, near),
+g AS (SELECT DISTINCT place FROM f JOIN e USING (v, near) WHERE first < place),
+k AS (SELECT doc_id, count(g.place) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (WHERE g.place IS NULL), '') AS kept FROM o LEFT JOIN g ON g.place = o.place GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(CASE WHEN d.text IS NOT NULL THEN length(kept) END AS BIGINT) AS n_chars_left, CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS text_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
+u AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+t AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x, y FROM t UNION SELECT r.x, t.y FROM r JOIN t ON r.y = t.x),
+c AS (SELECT x AS doc_id, min(y) AS least FROM r GROUP BY x)
+SELECT s.doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, coalesce(c.least, s.doc_id) >= s.doc_id AS kept FROM s LEFT JOIN c ON c.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": _OP4, "op9_quality_rules": _OP9}
+    return {"op1_html_extraction": _OP1, "op2_line_dedup": _OP2, "op4_warc": _OP4, "op7_minhash_near_dedup": _OP7, "op9_quality_rules": _OP9}
