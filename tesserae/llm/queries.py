@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, html_text, licences, line_dedup, near_dedup, packing, quality_model, warc, webp
+from tesserae.llm import best_fit, bpe, html_text, licences, line_dedup, near_dedup, packing, quality_model, ranked_search, warc, webp
 from tesserae.llm import quality_rules as rules
 from tesserae.llm.common import table
 
@@ -66,6 +66,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(webp.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.pack_best_fit(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_html_extraction, op2_line_dedup, op3_licence_scan, op4_warc, op5_bpe, op6_packing,
-        op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns, pipeline,
+        op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns,
+        op12_best_fit_packing, op13_ranked_search, pipeline,
     )
     return {f.__name__: f for f in each}
 
@@ -150,5 +161,19 @@ SELECT s.doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce
 """
 
 
+_OP13 = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM n),
+m AS (SELECT doc_id, 25 + 75 * n * docs // tokens AS m FROM n, c),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extraction": _OP1, "op2_line_dedup": _OP2, "op4_warc": _OP4, "op7_minhash_near_dedup": _OP7, "op9_quality_rules": _OP9}
+    return {"op13_ranked_search": _OP13, "op1_html_extraction": _OP1, "op2_line_dedup": _OP2, "op4_warc": _OP4, "op7_minhash_near_dedup": _OP7, "op9_quality_rules": _OP9}
