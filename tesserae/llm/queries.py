@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import best_fit, bpe, html_text, licences, line_dedup, near_dedup, packing, quality_model, ranked_search, warc, webp
+from tesserae.llm import best_fit, bpe, html_text, licences, line_dedup, near_dedup, packing, quality_model, ranked_search, turns, warc, webp
 from tesserae.llm import quality_rules as rules
 from tesserae.llm.common import table
 
@@ -66,6 +66,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(webp.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turns.damage(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return turns.digests(turns.repair(damaged)).withColumnRenamed("conv", "conv_id")
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = best_fit.pack_best_fit(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -86,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_html_extraction, op2_line_dedup, op3_licence_scan, op4_warc, op5_bpe, op6_packing,
         op7_minhash_near_dedup, op8_quality_classifier, op9_quality_rules, op10_media_columns,
-        op12_best_fit_packing, op13_ranked_search, pipeline,
+        op11_conversation_repair, op12_best_fit_packing, op13_ranked_search, pipeline,
     )
     return {f.__name__: f for f in each}
 
