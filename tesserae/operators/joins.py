@@ -1,21 +1,14 @@
 """Join shapes of the matching engine, over any tables.
 
-All are equi-joins or windows that Catalyst plans; the top-k search is the one exception and
-goes through its index once per block of queries, with partial results per partition.
+All are equi-joins or windows that Catalyst plans. The top-k search is in ``hamming``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass of a top-k search takes: what is broadcast stays below this times a row.
-QUERY_BLOCK = 4_096
-_ONES = np.array([bin(i).count("1") for i in range(256)], "u1")
+from tesserae.operators.hamming import top_k_hamming  # noqa: F401
 
 
 def tiered_key_join(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, keys: str = "keys", other_than_self: bool = False) -> DataFrame:
@@ -41,64 +34,6 @@ def name_then_stem_join(queries: DataFrame, index: DataFrame, query_id: str, ind
     return exact.withColumn("by", F.lit("name")).union(by_stem.withColumn("by", F.lit("stem")))
 
 
-def top_k_hamming(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, words: str, k: int, variant: str | None = None) -> DataFrame:
-    """The k index rows closest to each query by Hamming distance of words: array<bigint>.
-
-    Ties go to the smaller index_id. With variant, a query has several rows, and its best variant
-    counts, the first in variant's order. Rows: query_id, index_id, distance, rank[, variant].
-    Every partition of the index keeps k rows a query, and only those are shuffled.
-    """
-    columns = [query_id, *([variant] if variant else []), words]
-    blocks = -(-queries.select(query_id).distinct().count() // QUERY_BLOCK)
-    parts = []
-    spark = queries.sparkSession
-    kinds = {n: queries.schema[n].dataType.simpleString() for n in columns} | {index_id: index.schema[index_id].dataType.simpleString()}
-    for block in range(blocks):
-        chosen = queries.select(*columns)
-        if blocks > 1:
-            chosen = chosen.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        chosen = chosen.filter(F.col(words).isNotNull()).orderBy(*columns[:-1]).toPandas()  # about QUERY_BLOCK queries
-        if not len(chosen):
-            continue
-        bits = np.array(chosen[words].tolist(), "i8").view("u1").reshape(len(chosen), -1)
-        ids, start = np.unique(chosen[query_id].to_numpy(), return_index=True)
-        ends = np.append(start[1:], len(chosen))
-        names = chosen[variant].to_numpy() if variant else None
-        shared = spark.sparkContext.broadcast((bits, ids, start, ends, names))
-
-        def search(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            bits, ids, start, ends, names = shared.value
-            held = [(np.zeros(0, "i8"), [], np.zeros(0, "i8")) for _ in ids]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                rows = np.array(pdf[words].tolist(), "i8").view("u1").reshape(len(pdf), -1)
-                own = pdf[index_id].to_numpy()
-                for q in range(len(ids)):
-                    far = np.stack([_ONES[rows ^ bits[v]].sum(1, dtype="i8") for v in range(start[q], ends[q])])
-                    best = far.argmin(0)
-                    near = np.concatenate([held[q][0], far.min(0)])
-                    which = np.concatenate([held[q][1], own]) if len(held[q][1]) else own
-                    turned = np.concatenate([held[q][2], best + start[q]])
-                    order = np.lexsort((which, near))[:k]
-                    held[q] = near[order], which[order], turned[order]
-            for q, (near, which, turned) in enumerate(held):
-                if len(near):
-                    out = pd.DataFrame({query_id: [ids[q]] * len(near), index_id: which, "distance": near})
-                    yield out.assign(**{variant: names[turned]}) if variant else out
-
-        schema = f"`{query_id}` {kinds[query_id]}, `{index_id}` {kinds[index_id]}, distance long" + (f", `{variant}` {kinds[variant]}" if variant else "")
-        parts.append(index.select(index_id, words).filter(F.col(words).isNotNull()).mapInPandas(search, schema))
-    if not parts:
-        shape = f"`{query_id}` {kinds[query_id]}, `{index_id}` {kinds[index_id]}, distance long" + (f", `{variant}` {kinds[variant]}" if variant else "") + ", rank int"
-        return spark.createDataFrame([], shape)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy(query_id).orderBy("distance", index_id)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def candidate_union(query_id: str, index_id: str, **sources: DataFrame) -> DataFrame:
     """One row per (query, index row) over several sources, with a flag per source; names order precedence.
 

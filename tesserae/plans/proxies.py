@@ -58,7 +58,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
 
 def _nearest(q: DataFrame, x: DataFrame, k: int) -> DataFrame:
     """The k nearest other vectors: one more is looked for, as a vector is its own nearest."""
-    near = J.top_k_hamming(q, x, "query_id", "vec_id", "words", k + 1).drop("rank").filter("query_id <> vec_id")
+    near = J.top_k_hamming(q, x, "query_id", "vec_id", "words", k + 1, word_bits=32).drop("rank").filter("query_id <> vec_id")
     return R.ranked(near, "query_id", [F.col("distance"), F.col("vec_id")]).filter(F.col("rank") <= k)
 
 

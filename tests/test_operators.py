@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import similarity as S
 from tesserae.functions import text as T
 from tesserae.operators import captions as C
+from tesserae.operators import hamming
 from tesserae.operators import joins as J
 from tesserae.operators import matching as M
 from tesserae.operators import ranking as R
@@ -25,7 +26,7 @@ def test_normalize(spark, raw, want):
     assert one(spark, T.normalize(F.col("t")), t=raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("3. 전경", "전경"), ("55세 이상", "55세 이상"), ("사진 3. 근경", "근경"), ("① 유물", "유물"), ("(3) 것", "것")])
+@pytest.mark.parametrize("raw, want", [("3. 전경", "전경"), ("55세 이상", "55세 이상"), ("사진 7. 벽면", "벽면"), ("① 유물", "유물"), ("(3) 것", "것")])
 def test_clean_caption(spark, raw, want):
     assert one(spark, T.clean_caption(F.col("t"), True), t=raw) == want
 
@@ -91,7 +92,8 @@ def test_capture_conflict(spark, a, b, s, t, want):
 
 @pytest.mark.parametrize("block", [4096, 3])
 def test_top_k_as_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(J, "QUERY_BLOCK", block)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", block)
+    monkeypatch.setattr(hamming, "ROW_BLOCK", 4 * block)
     rnd = np.random.RandomState(2)
     index = [(i, rnd.randint(-(2**62), 2**62, 4).tolist()) for i in range(60)]
     queries = [(q, v, rnd.randint(-(2**62), 2**62, 4).tolist()) for q in range(7) for v in range(3)]
@@ -105,6 +107,38 @@ def test_top_k_as_brute_force(spark, monkeypatch, block):
     assert J.top_k_hamming(spark.createDataFrame([], "q long, v int, w array<bigint>"), spark.createDataFrame(index, "i long, w array<bigint>"), "q", "i", "w", 4, variant="v").count() == 0
 
 
+@pytest.mark.parametrize("word_bits", [64, 32])
+def test_top_k_by_bands(spark, word_bits):
+    """Codes around centres: rounds settle their queries; far ones are weighed against all rows."""
+    rnd = np.random.RandomState(4)
+    code = lambda: [int(x) for x in rnd.randint(0, 2**32, 2)] if word_bits == 32 else rnd.randint(-(2**62), 2**62, 1).tolist()
+    centres = [code() for _ in range(40)]
+
+    def near(c, flips):
+        out = list(c)
+        for b in rnd.randint(0, word_bits, flips):
+            w = int(rnd.randint(len(out)))
+            out[w] = int(np.array(out[w] & (2**64 - 1), "u8").view("i8") ^ np.array(1 << int(b), "u8").view("i8"))
+        return out
+
+    index = [(i, near(centres[i % 40], i // 40 % 7)) for i in range(1_200)] + [(i, code()) for i in range(1_200, 1_500)]
+    queries = [(q, near(centres[q], 2)) for q in range(25)] + [(q, code()) for q in range(25, 28)] + [(28, None)]
+    work = {}
+    args = (spark.createDataFrame(queries, "q long, w array<bigint>"), spark.createDataFrame([*index, (9_999, None)], "i long, w array<bigint>").repartition(3))
+    rows = J.top_k_hamming(*args, "q", "i", "w", 6, word_bits=word_bits, work=work).collect()
+    far = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b, strict=True))
+    want = {(q, i, d, r) for q, w in queries if w for r, (d, i) in enumerate(sorted((far(w, x), i) for i, x in index)[:6], 1)}
+    assert {(r.q, r.i, r.distance, r.rank) for r in rows} == want
+    assert work["settled"] >= 25 and work["banded"] < 28 * 1_500 // 4 and work["whole"] <= 3 * 1_500
+
+
+def test_bands_cover_what_they_claim():
+    bands = hamming.Bands(4, 64, 10**9)
+    assert bands.m == 8 and bands.width == 32 and bands.rounds(7) == 1 and bands.rounds(8) == 2
+    small = hamming.Bands(2, 32, 2_000)
+    assert small.m == 4 and small.pays(23) and not small.pays(24) and small.expected(2_000, 6) == 21
+
+
 def test_first_tier_wins(spark):
     key = lambda *ks: [(t, f"n{t}", k) for t, k in ks]
     kind = "array<struct<tier: int, name: string, key: string>>"
