@@ -164,15 +164,13 @@ def slots(captions: DataFrame, floating: DataFrame | None = None) -> DataFrame:
 def floating_captions(pictures: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Pictures outside tables, named by the next paragraph, else by the one before, if short enough.
 
-    pictures: doc, section, para, nth, bin_id. paragraphs: doc, section, para, text. The paragraphs of a
-    section are laid out once as an array sorted by place (a section's own paragraphs).
+    pictures: doc, section, para, nth, bin_id. paragraphs: doc, section, para, text.
     """
     text = paragraphs.select("doc", "section", "para", T.normalize(F.col("text")).alias("t"))
-    laid = text.groupBy("doc", "section").agg(F.sort_array(F.collect_list(F.struct("para", "t"))).alias("ps"))
-    near = pictures.join(laid, ["doc", "section"], "left")
-    after = F.get(F.filter("ps", lambda p: p["para"] > F.col("para")), F.lit(0))["t"]
-    earlier = F.filter("ps", lambda p: p["para"] <= F.col("para"))
-    before = F.get(earlier, F.size(earlier) - 1)["t"]
+    where = ["doc", "section"]
+    near = J.as_of(pictures, text.withColumnRenamed("t", "after"), where, "para", ["after"], ties=["after"], after=True, strict=True)
+    near = J.as_of(near, text.withColumnRenamed("t", "before"), where, "para", ["before"], ties=["before"])
+    after, before = F.col("after"), F.col("before")
     fits = lambda t: (t != "") & (F.length(t) <= T.MAX_CAPTION)
     caption = F.when(fits(after), after).when(fits(before), before).otherwise("")
     source = F.when(fits(after), "다음 문단").when(fits(before), "앞 문단").otherwise("")

@@ -55,9 +55,14 @@ def histogram(df: DataFrame, column: str, values: list[str], extra: dict[str, Co
     return every.join(counts, column, "left").select(column, zero("n"), *[zero(k) for k in extra])
 
 
-def multimap(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, values: the distinct values of each key, sorted."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))
+def multimap(df: DataFrame, key: str, value: str, least: int = 1) -> DataFrame:
+    """A row per key and distinct value, with the number (n) of the key's values; keys with fewer than least go.
+
+    Values stay rows, so a key that has most of them is no row of its own; its number is summed up before it is shuffled.
+    """
+    rows = df.select(key, value).filter(F.col(key).isNotNull() & F.col(value).isNotNull()).distinct()
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return rows.join(n, key)
 
 
 def first_value(df: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:

@@ -300,10 +300,10 @@ def head_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(head_sha1(raw).alias("head_sha1"), "doc_id")
 
 
-@query("""SELECT sha1(text) AS h, list(doc_id ORDER BY doc_id) AS "values" FROM documents GROUP BY text HAVING count(DISTINCT doc_id) > 1""")
+@query("""WITH d AS (SELECT DISTINCT sha1(text) AS h, doc_id FROM documents WHERE text IS NOT NULL), n AS (SELECT h, count(*) AS n FROM d GROUP BY h HAVING count(*) > 1) SELECT h, doc_id, n FROM d JOIN n USING (h)""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("h"), "doc_id")
-    return R.multimap(docs, "h", "doc_id").filter(F.size("values") > 1)
+    return R.multimap(docs, "h", "doc_id", least=2)
 
 
 # --------------------------------------------------------------------------- text
@@ -378,6 +378,30 @@ def interval_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.first_band(rows, bands, ["t"], "at", "low", "high", "band").select("l_orderkey", "l_linenumber", "band")
 
 
+@query("""WITH b AS (SELECT p_partkey AS band, p_size AS t, p_retailprice AS low, p_retailprice + p_partkey % 17 * 25.25 AS high FROM part)
+SELECT l_orderkey, l_linenumber, band FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 10 AS price, l_suppkey % 50 + 1 AS t FROM lineitem) l JOIN b ON l.t = b.t AND low <= price AND price < high""")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of each line's price within the price ranges, wide and narrow ones, of parts of a size."""
+    bands = _table(spark, sf_dir, "part").selectExpr("p_partkey as band", "p_size as t", "p_retailprice as low", "p_retailprice + p_partkey % 17 * 25.25 as high")
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice / 10 as price", "l_suppkey % 50 + 1 as t")
+    return J.interval_join(rows, bands, ["t"], "price", "low", "high").select("l_orderkey", "l_linenumber", "band")
+
+
+_FACTS = """f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+before AS (SELECT user_id, ts, max(event_id) AS last_id FROM f GROUP BY 1, 2), later AS (SELECT user_id, ts, min(event_id) AS next_id FROM f GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_FACTS}, a AS (SELECT e.event_id, e.user_id, e.ts, last_id FROM events e ASOF LEFT JOIN before b ON e.user_id = b.user_id AND e.ts >= b.ts)
+SELECT event_id, last_id, next_id FROM a ASOF LEFT JOIN later l ON a.user_id = l.user_id AND a.ts < l.ts""")
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last event of one kind up to then, and with the next one."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    kind = events.agg(F.min("event_type")).first()[0]
+    facts = events.filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias("last_id"), F.col("event_id").alias("next_id"))
+    found = J.as_of(events.drop("event_type"), facts, ["user_id"], "ts", ["last_id"], ties=["last_id"])
+    return J.as_of(found, facts, ["user_id"], "ts", ["next_id"], ties=["next_id"], after=True, strict=True).select("event_id", "last_id", "next_id")
+
+
 @query("""SELECT conv_id, turn, role, lag(text) OVER w AS prev_text, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def neighbour_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.neighbours(_table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "role", "prev_text", "next_text")

@@ -147,6 +147,52 @@ def test_first_tier_wins(spark):
     assert {(r.q, r.i, r.tier, r.name) for r in J.tiered_key_join(q, x, "q", "i").collect()} == {(1, 10, 0, "n0"), (2, 11, 1, "n1"), (2, 12, 1, "n1")}
 
 
+def test_weaker_tiers_are_not_joined(spark, monkeypatch):
+    """Only keys of the first tier reach the join of hits, and a hot key's hits come in parts."""
+    monkeypatch.setattr(J, "HOT_ROWS", 10)
+    kind = "array<struct<tier: int, name: string, key: string>>"
+    q = spark.createDataFrame([(i, [(0, "id", f"a{i}"), (1, "day", "hot")]) for i in range(6)] + [(6, []), (7, None)], f"q long, keys {kind}")
+    x = spark.createDataFrame([(100 + i, [(0, "id", f"a{i}"), (1, "day", "hot")]) for i in range(3)] + [(i, [(2, "day", "hot")]) for i in range(200)], f"i long, keys {kind}")
+    chosen = {(r.q, r.key, r.tier, r.n) for r in J.first_tiers(q, x, "q", "i").collect()}
+    assert chosen == {(i, f"a{i}", 0, 1) for i in range(3)} | {(i, "hot", 1, 203) for i in range(3, 6)}
+    hits = {(r.q, r.i, r.tier, r.name) for r in J.tiered_key_join(q, x, "q", "i").collect()}
+    assert hits == {(i, 100 + i, 0, "id") for i in range(3)} | {(i, y, 1, "day") for i in range(3, 6) for y in [*range(200), 100, 101, 102]}
+    other = {(r.q, r.i) for r in J.tiered_key_join(q, x, "q", "i", other_than_self=True).collect()}
+    assert other == {(i, y) for i, y, *_ in hits if i != y}
+
+
+def test_interval_join_as_brute_force(spark):
+    rnd = np.random.RandomState(3)
+    inf = float("inf")
+    rows = [(int(rnd.randint(3)), n, float(rnd.choice([rnd.randn() * 10.0 ** rnd.randint(-3, 6), rnd.randint(-5, 5), 1e18, -1e-9]))) for n in range(300)] + [(0, 300, None), (None, 301, 1.0)]
+    bands = [(int(rnd.randint(3)), n, float(a := rnd.randn() * 10.0 ** rnd.randint(-3, 6)), float(a + abs(rnd.randn()) * 10.0 ** rnd.randint(-6, 7))) for n in range(120)]
+    bands += [(0, 200, -inf, inf), (1, 201, 3.0, inf), (2, 202, 5.0, 5.0), (2, 203, 5.0, -5.0), (1, 204, None, 4.0), (0, 205, 1.0, 5.0), (1, 206, -2.0, 2.0)]
+    got = J.interval_join(spark.createDataFrame(rows, "k int, n int, at double"), spark.createDataFrame(bands, "k int, b int, low double, high double"), ["k"], "at", "low", "high")
+    want = sorted((n, b) for k, n, at in rows for j, b, low, high in bands if k == j and None not in (at, low) and low <= at < high)
+    assert sorted((r.n, r.b) for r in got.collect()) == want and len(want) > 500
+    assert J.interval_join(spark.createDataFrame(rows, "k int, n int, at double"), spark.createDataFrame([], "k int, b int, low double, high double"), ["k"], "at", "low", "high").count() == 0
+
+
+@pytest.mark.parametrize("after, strict", [(False, False), (False, True), (True, False), (True, True)])
+def test_as_of_as_brute_force(spark, after, strict):
+    rnd = np.random.RandomState(9)
+    rows = [(0 if n < 150 else int(rnd.randint(4)), n, int(rnd.randint(40))) for n in range(250)] + [(None, 250, 3), (0, 251, None)]
+    facts = [(0 if n < 80 else int(rnd.randint(3)), int(rnd.randint(40)), f"f{n:03}") for n in range(120)] + [(None, 1, "x"), (0, None, "y")]
+    got = J.as_of(spark.createDataFrame(rows, "k int, n int, at int").repartition(4), spark.createDataFrame(facts, "k int, at int, f string"), ["k"], "at", ["f"], ties=["f"], after=after, strict=strict).collect()
+    fits = (lambda t, at: t > at or t == at and not strict) if after else (lambda t, at: t < at or t == at and not strict)
+    assert len(got) == len(rows)
+    for r in got:
+        of = sorted((t, f) for k, t, f in facts if None not in (k, t, r.k, r.at) and k == r.k and fits(t, r.at))
+        assert r.f == ((of[0] if after else of[-1])[1] if of else None)
+
+
+def test_multimap_rows(spark):
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 3), (None, 4), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    assert sorted(tuple(r) for r in R.multimap(df, "k", "v").collect()) == [("a", 1, 2), ("a", 2, 2), ("b", 3, 1)]
+    assert sorted(tuple(r) for r in R.multimap(df, "k", "v", 2).collect()) == [("a", 1, 2), ("a", 2, 2)]
+
+
 def test_cascade_and_bands(spark):
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     step = lambda *rows: spark.createDataFrame(list(rows), "k string, answer string, order string")
