@@ -2,21 +2,19 @@
 
 Cells are rows: doc, section, table_order, cell_no, row, col, row_span, col_span, text, image_id (a
 picture as the cell's background), inline_ids (pictures in the cell). Candidates, bands and votes
-are joins and aggregates; only the last step, which hands out cells greedily, runs per table in
-Python: a table is a bounded group.
+are joins and aggregates; cells are handed out by rounds of windows, best score first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import joins as J
 from tesserae.operators import ranking as R
+from tesserae.operators.assignment import best_pairs
+from tesserae.operators.stages import written
 
 # What each kind of place is worth as a picture's name.
 OWN, EXACT, OVERLAP, HEADER = 170, 100, 45, 45
@@ -64,16 +62,15 @@ def photos_of(ready: DataFrame) -> DataFrame:
         F.when(F.col("image_id").isNotNull(), F.array(F.struct(F.col("image_id").cast("int").alias("id"), F.lit("background").alias("how")))).otherwise(F.array().cast("array<struct<id:int,how:string>>")),
         F.transform(F.coalesce("inline_ids", F.array().cast("array<int>")), lambda i: F.struct(i.cast("int").alias("id"), F.when(i == F.col("image_id"), "background").otherwise("inline").alias("how"))),
     )
-    rows = ready.filter("is_photo").select(*TABLE, "cell_no", "row", "col", "row_end", "col_end", "col_span", "flat", "named", F.posexplode(both).alias("nth", "p"))
+    rows = ready.filter("is_photo").select(*TABLE, "cell_no", "row", "col", "row_end", "col_end", "col_span", "flat", "named", "band", F.posexplode(both).alias("nth", "p"))
     rows = rows.select("*", F.col("p.id").alias("bin_id"), F.col("p.how").alias("placement")).drop("p")
     return R.running_number(rows, TABLE, ["cell_no", "nth"], "photo_no")
 
 
-def candidates(ready: DataFrame, photos: DataFrame, table_bands: DataFrame) -> DataFrame:
-    """TABLE, photo_no, band_no (of the picture), direction, cell_no, cell_row, cell_col, caption, exact, score."""
+def candidates(ready: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of cells and pictures, both with their band: TABLE, photo_no, band_no (of the picture), direction, cell_no, cell_row, cell_col, caption, exact, score."""
     ids = [*TABLE, "photo_no"]
     band_no = F.coalesce("band.band_no", F.lit(-1)).alias("band_no")
-    placed = with_band(photos, table_bands)
     row = lambda direction, cell, caption, exact, score: [F.lit(direction).alias("direction"), *cell, caption.alias("caption"), F.lit(exact).alias("exact"), score.cast("double").alias("score")]
     here = [F.col("cell_no"), F.col("row").alias("cell_row"), F.col("col").alias("cell_col")]
     own = placed.filter("named").select(*ids, band_no, *row("own", here, F.col("flat"), True, OWN + shape_bonus(F.col("flat"))))
@@ -82,7 +79,7 @@ def candidates(ready: DataFrame, photos: DataFrame, table_bands: DataFrame) -> D
     looking = placed.select(*ids, band_no, F.col("col").alias("pc"), F.col("col_end").alias("pe"), F.col("col_span").alias("ps"), sides.alias("s"))
     looking = looking.select("*", F.col("s.d").alias("direction"), F.col("s.r").alias("row")).drop("s")
     photo_rows = ready.filter("is_photo").select(*TABLE, "row").distinct().withColumn("with_photo", F.lit(True))
-    cells = with_band(ready.filter("not is_photo and named").select(*TABLE, "cell_no", "row", "col", "col_end", "col_span", "flat"), table_bands)
+    cells = ready.filter("not is_photo and named").select(*TABLE, "cell_no", "row", "col", "col_end", "col_span", "flat", "band")
     cells = cells.join(photo_rows, [*TABLE, "row"], "left").withColumn("cell_band", F.coalesce("band.band_no", F.lit(-1)))
     met = looking.join(cells, [*TABLE, "row"]).withColumn("shared", F.least("pe", "col_end") - F.greatest("pc", "col")).filter("shared > 0")
     exact = (F.col("pc") == F.col("col")) & (F.col("ps") == F.col("col_span"))
@@ -110,38 +107,17 @@ def voted(found: DataFrame) -> DataFrame:
     return found.join(winners, [*TABLE, "band_no"], "left").withColumn("score", F.col("score") + better).drop("winner")
 
 
-def choose(pairs: Iterable[tuple[float, int, int, int, tuple[int, int], bool]]) -> dict[int, int]:
-    """Greedy choice: best score first, then picture, kind and cell. A cell names one picture unless it is shared.
-
-    pairs: score, picture, candidate's order, its index, its cell, whether it may be shared. Gives index by picture.
-    """
-    chosen: dict[int, int] = {}
-    taken: set[tuple[int, int]] = set()
-    for score, photo, _, index, cell, shared in sorted(pairs, key=lambda p: (-p[0], p[1], p[2], p[3])):
-        if score < ACCEPTED or photo in chosen or cell in taken and not shared:
-            continue
-        chosen[photo] = index
-        if not shared:
-            taken.add(cell)
-    return chosen
-
-
 def resolve_captions(cells: DataFrame) -> DataFrame:
     """A row per picture: TABLE, cell_no, photo_no, row, col, bin_id, placement, caption, band, caption_source."""
-    ready = _ready(cells)
-    table_bands = bands(ready)
+    ready = written(_ready(cells), "cells")
+    ready = written(with_band(ready, bands(ready)), "cells-banded")
     photos = photos_of(ready)
-    found = voted(candidates(ready, photos, table_bands))
-    kinds = list(SOURCES)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["photo_no", "cell_no"]).reset_index(drop=True)
-        rows = zip(pdf["score"], pdf["photo_no"], pdf["direction"].map(kinds.index), pdf.index, zip(pdf["cell_row"], pdf["cell_col"], strict=True), pdf["direction"] == "header", strict=True)
-        return pdf.loc[list(choose(rows).values()), [*TABLE, "photo_no", "caption", "direction"]]
-
-    schema = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in [*TABLE, "photo_no", "caption", "direction"])
-    named = found.groupBy(*TABLE).applyInPandas(pick, schema)
-    rows = with_band(photos, table_bands).join(named, [*TABLE, "photo_no"], "left")
+    found = voted(candidates(ready, photos))
+    kind = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("direction"))
+    pairs = found.filter(F.col("score") >= ACCEPTED).withColumns({"kind": kind, "shared": F.col("direction") == "header"})
+    order = [F.desc("score"), F.col("photo_no"), F.col("kind"), F.col("cell_no")]
+    named = best_pairs(pairs, [*TABLE, "photo_no"], [*TABLE, "cell_row", "cell_col"], order, "shared").select(*TABLE, "photo_no", "caption", "direction")
+    rows = photos.join(named, [*TABLE, "photo_no"], "left")
     names = F.create_map(*[F.lit(x) for kv in SOURCES.items() for x in kv])
     return rows.select(
         *TABLE, "cell_no", "photo_no", "row", "col", "bin_id", "placement", F.coalesce("caption", F.lit("")).alias("caption"),

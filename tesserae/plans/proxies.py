@@ -378,12 +378,12 @@ def interval_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.first_band(rows, bands, ["t"], "at", "low", "high", "band").select("l_orderkey", "l_linenumber", "band")
 
 
-@query("""WITH b AS (SELECT p_partkey AS band, p_size AS t, p_retailprice AS low, p_retailprice + p_partkey % 17 * 25.25 AS high FROM part)
-SELECT l_orderkey, l_linenumber, band FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 10 AS price, l_suppkey % 50 + 1 AS t FROM lineitem) l JOIN b ON l.t = b.t AND low <= price AND price < high""")
+@query("""WITH b AS (SELECT p_partkey AS band, p_partkey // 20 AS t, p_retailprice AS low, p_retailprice + p_partkey % 17 * 25.25 AS high FROM part)
+SELECT l_orderkey, l_linenumber, band FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 10 AS price, l_partkey // 20 AS t FROM lineitem) l JOIN b ON l.t = b.t AND low <= price AND price < high""")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of each line's price within the price ranges, wide and narrow ones, of parts of a size."""
-    bands = _table(spark, sf_dir, "part").selectExpr("p_partkey as band", "p_size as t", "p_retailprice as low", "p_retailprice + p_partkey % 17 * 25.25 as high")
-    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice / 10 as price", "l_suppkey % 50 + 1 as t")
+    """A tenth of each line's price within the price ranges, wide and narrow ones, of twenty parts."""
+    bands = _table(spark, sf_dir, "part").selectExpr("p_partkey as band", "floor(p_partkey / 20) as t", "p_retailprice as low", "p_retailprice + p_partkey % 17 * 25.25 as high")
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice / 10 as price", "floor(l_partkey / 20) as t")
     return J.interval_join(rows, bands, ["t"], "price", "low", "high").select("l_orderkey", "l_linenumber", "band")
 
 
@@ -461,12 +461,14 @@ def first_and_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(R.last_value(rows, ["conv_id", "role"], "text", ["turn"]).withColumnRenamed("text", "last_text"), ["conv_id", "role"])
 
 
-@query(f"""WITH {_SCORED},
-b AS (SELECT e.label, query_id, g.vec_id, score, {_VERDICT} AS verdict FROM g JOIN embeddings e ON e.vec_id = query_id WHERE rank = 1),
-y AS (SELECT b.*, g.vec_id AS next_id, g.score AS next_score, row_number() OVER (PARTITION BY b.label, b.vec_id ORDER BY b.score DESC, b.query_id) AS k
-      FROM b LEFT JOIN g ON g.query_id = b.query_id AND g.rank = 2)
-SELECT CAST(label AS VARCHAR) AS doc, query_id AS doc_order, CAST(CASE WHEN k > 1 THEN next_id ELSE vec_id END AS VARCHAR) AS path,
-round(CASE WHEN k > 1 THEN next_score ELSE score END, 4) AS score, CASE WHEN k = 1 THEN verdict WHEN next_id IS NULL THEN '못찾음' ELSE '확인필요' END AS verdict FROM y""")
+@query(f"""WITH RECURSIVE {_SCORED},
+c AS (SELECT e.label, query_id, g.vec_id, score, g.rank, {_VERDICT} AS verdict FROM g JOIN embeddings e ON e.vec_id = query_id WHERE rank <= 4),
+a AS (SELECT label, query_id, CAST(1 AS BIGINT) AS seat, 0 AS pass FROM c WHERE rank = 1 UNION ALL
+      SELECT label, query_id, CASE WHEN vec_id IS NOT NULL AND k > 1 THEN seat + 1 ELSE seat END, pass + 1
+      FROM (SELECT a.*, c.vec_id, row_number() OVER (PARTITION BY a.label, c.vec_id ORDER BY c.score DESC, a.query_id) AS k FROM a LEFT JOIN c ON c.query_id = a.query_id AND c.rank = a.seat) WHERE pass < 40)
+SELECT CAST(a.label AS VARCHAR) AS doc, a.query_id AS doc_order, CAST(n.vec_id AS VARCHAR) AS path, round(n.score, 4) AS score,
+CASE WHEN seat = 1 THEN f.verdict WHEN n.vec_id IS NULL THEN '못찾음' ELSE '확인필요' END AS verdict
+FROM a JOIN c f ON f.query_id = a.query_id AND f.rank = 1 LEFT JOIN c n ON n.query_id = a.query_id AND n.rank = a.seat WHERE pass = 40""")
 def exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with one label are a document; no two of its queries may keep the same original."""
     from tesserae.operators.matching import assign_exclusive
@@ -485,7 +487,71 @@ def exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc", "doc_order", F.col("best.path").alias("path"), F.round("best.score", 4).alias("score"), "verdict")
 
 
-@query()
+_CLAIMS = """l AS (SELECT l_orderkey // 4 AS doc, l_orderkey * 8 + l_linenumber AS doc_order, [l_partkey % 5, l_suppkey % 7, (l_partkey + l_suppkey) % 9, l_partkey % 11] AS paths,
+  [(l_partkey * 31 + l_linenumber) % 97, l_suppkey * 17 % 89, (l_partkey + l_suppkey * 3) % 83, l_partkey % 13] AS scores
+  FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem WHERE l_linenumber < 8 GROUP BY 1, 2)),
+c AS (SELECT doc, doc_order, paths[r] AS path, scores[r] / 100.0 AS score, r AS rank FROM l, (SELECT unnest([1, 2, 3, 4]) AS r))"""
+
+
+@query(f"""WITH RECURSIVE {_CLAIMS},
+a AS (SELECT doc, doc_order, 1 AS seat, 0 AS pass FROM l UNION ALL SELECT doc, doc_order, CASE WHEN path IS NOT NULL AND k > 1 THEN seat + 1 ELSE seat END, pass + 1
+      FROM (SELECT a.*, c.path, row_number() OVER (PARTITION BY a.doc, c.path ORDER BY c.score DESC, a.doc_order) AS k FROM a LEFT JOIN c ON c.doc = a.doc AND c.doc_order = a.doc_order AND c.rank = a.seat) WHERE pass < 120)
+SELECT a.doc, a.doc_order, CAST(c.path AS VARCHAR) AS path, CASE WHEN seat = 1 THEN '확실' WHEN c.path IS NULL THEN '못찾음' ELSE '확인필요' END AS verdict, CAST(4 - least(seat, 4) AS INT) AS left_over
+FROM a LEFT JOIN c ON c.doc = a.doc AND c.doc_order = a.doc_order AND c.rank = a.seat WHERE pass = 120""")
+def exclusive_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of four orders are a document's slots; each has four choices that others of the document want, too."""
+    from tesserae.operators.matching import assign_exclusive
+
+    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    paths = (part % 5, supp % 7, (part + supp) % 9, part % 11)
+    scores = ((part * 31 + line) % 97, supp * 17 % 89, (part + supp * 3) % 83, part % 13)
+    picks = [F.struct(p.cast("string").alias("path"), (s / 100.0).alias("score")) for p, s in zip(paths, scores, strict=True)]
+    lines = _table(spark, sf_dir, "lineitem").filter("l_linenumber < 8").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    slots = lines.select(
+        F.floor(F.col("l_orderkey") / 4).alias("doc"), (F.col("l_orderkey") * 8 + line).alias("doc_order"), picks[0].alias("best"), F.array(*picks[1:]).alias("runners_up"),
+        F.lit(S.CERTAIN).alias("verdict"), F.lit("").alias("message"),
+    )
+    done = assign_exclusive(slots)
+    return done.select("doc", "doc_order", F.col("best.path").alias("path"), "verdict", F.size("runners_up").alias("left_over"))
+
+
+_CELLS = """r AS (SELECT p_partkey // 40 AS section, p_partkey % 40 // 4 AS row, p_partkey % 4 AS col, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 40 // 4 % 3 = 0 THEN 3 ELSE 1 END AS row_span,
+  CASE WHEN p_size % 7 = 0 AND p_partkey % 4 IN (1, 2) THEN 2 ELSE 1 END AS col_span, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 40 // 4 % 3 = 0 THEN p_type ELSE '' END
+  WHEN p_size % 9 = 0 OR p_partkey * 7 % 5 < 2 AND p_partkey % 40 // 4 % 2 = 0 THEN '' ELSE p_name END AS text,
+  CASE WHEN p_partkey % 4 > 0 AND p_partkey * 7 % 5 < 2 THEN p_partkey END AS image_id, CASE WHEN p_partkey % 4 > 0 AND p_partkey * 7 % 5 = 1 AND p_size % 3 = 0 THEN p_partkey + 1000000 END AS inline_id FROM part)"""
+
+
+_CAPTIONS = r"""
+c AS (SELECT *, row + row_span AS row_end, col + col_span AS col_end, image_id IS NOT NULL AS photo, row_number() OVER (PARTITION BY section ORDER BY row, col) AS cell_no,
+  flat <> '' AND length(flat) <= 40 AND NOT regexp_matches(flat, '^[\s\-–—·ㆍ.,:;/\\()\[\]{}<>~=_]*$') AND NOT regexp_matches(flat, '^[\s0-9①-⑳.,\-–—/()\[\]=~·]*$') AS named
+  FROM (SELECT *, trim(regexp_replace(nfc_normalize(text), '[ \t\n\x0B\f\r　]+', ' ', 'g')) AS flat FROM r)),
+heads AS (SELECT section, cell_no AS band_no, row AS start, row_end AS stop, flat AS header FROM c WHERE col = 0 AND NOT photo AND named),
+bands AS (SELECT * FROM heads UNION ALL SELECT section, 0, min(row), max(row_end), '' FROM c WHERE section NOT IN (SELECT section FROM heads) GROUP BY section),
+b AS (SELECT c.*, coalesce(band_no, -1) AS band_no, start, coalesce(header, '') AS header FROM c LEFT JOIN bands ON bands.section = c.section AND c.row >= start AND c.row < stop),
+p AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY cell_no, nth) AS photo_no FROM (SELECT *, 0 AS nth, image_id AS bin_id FROM b WHERE photo UNION ALL SELECT *, 1, inline_id FROM b WHERE inline_id IS NOT NULL)),
+l AS (SELECT p.section, p.photo_no, p.band_no, d.direction, p.col AS pc, p.col_end AS pe, p.col_span AS ps, CASE d.direction WHEN 'below' THEN p.row_end ELSE p.row - 1 END AS look FROM p, (SELECT unnest(['below', 'above']) AS direction) d),
+n AS (SELECT l.section, photo_no, l.band_no, direction, c.cell_no, c.row AS cell_row, c.col AS cell_col, c.flat AS caption, pc = c.col AND ps = c.col_span AS exact,
+  CASE WHEN pc = c.col AND ps = c.col_span THEN 100.0 ELSE 45 * (least(pe, c.col_end) - greatest(pc, c.col)) / greatest(1, pe - pc) END + CASE direction WHEN 'below' THEN 12 ELSE 8 END
+  + CASE WHEN c.band_no = l.band_no THEN 25 ELSE -35 END + CASE WHEN (l.section, look) IN (SELECT section, row FROM c WHERE photo) THEN 0 ELSE 10 END AS score
+  FROM l JOIN b c ON c.section = l.section AND c.row = look AND NOT c.photo AND c.named AND least(pe, c.col_end) > greatest(pc, c.col)),
+u AS (SELECT * FROM n UNION ALL SELECT section, photo_no, band_no, 'own', cell_no, row, col, flat, true, 170.0 FROM p WHERE named
+  UNION ALL SELECT p.section, photo_no, p.band_no, 'header', h.cell_no, p.start, 0, header, false, 45.0 FROM p JOIN (SELECT section, row, min(cell_no) AS cell_no FROM c WHERE col = 0 AND NOT photo GROUP BY 1, 2) h ON h.section = p.section AND h.row = p.start WHERE header <> ''),
+v AS (SELECT section, band_no, photo_no, list(DISTINCT direction) AS d FROM u WHERE exact AND direction IN ('below', 'above') GROUP BY 1, 2, 3),
+w AS (SELECT section, band_no, count(*) FILTER (WHERE d[1] = 'below') AS x, count(*) FILTER (WHERE d[1] = 'above') AS y FROM v WHERE len(d) = 1 GROUP BY 1, 2),
+s AS (SELECT u.*, score + 8 + CASE WHEN length(caption) <= 20 THEN 6 ELSE 0 END - CASE WHEN length(caption) = 1 THEN 20 ELSE 0 END - CASE WHEN regexp_matches(caption, '[:：]\s*$') THEN 14 ELSE 0 END
+  + CASE WHEN x > y AND direction = 'below' OR y > x AND direction = 'above' THEN 15 ELSE 0 END AS total FROM u LEFT JOIN w ON w.section = u.section AND w.band_no = u.band_no),
+o AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY total DESC, photo_no, list_position(['own', 'below', 'above', 'header'], direction), cell_no) AS k, cell_row * 100 + cell_col AS cell FROM s WHERE total >= 55),
+g AS (SELECT DISTINCT section, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS photos, CAST([] AS BIGINT[]) AS cells, false AS taken FROM o UNION ALL
+  SELECT section, k, CASE WHEN ok THEN list_append(photos, photo_no) ELSE photos END, CASE WHEN ok AND direction <> 'header' THEN list_append(cells, cell) ELSE cells END, ok
+  FROM (SELECT o.*, photos, cells, NOT list_contains(photos, photo_no) AND (direction = 'header' OR NOT list_contains(cells, cell)) AS ok FROM g JOIN o ON o.section = g.section AND o.k = g.k + 1)),
+e AS (SELECT o.section, photo_no, caption, direction FROM g JOIN o ON o.section = g.section AND o.k = g.k WHERE g.taken),
+z AS (SELECT p.section, p.photo_no, p.row, p.col, bin_id, coalesce(caption, '') AS caption, CASE WHEN direction = 'header' THEN '' ELSE header END AS band,
+  CASE direction WHEN 'own' THEN '사진 칸 자체' WHEN 'below' THEN '아래 칸' WHEN 'above' THEN '위 칸' WHEN 'header' THEN '행 머리글' ELSE '' END AS caption_source
+  FROM p LEFT JOIN e ON e.section = p.section AND e.photo_no = p.photo_no)"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT conv_id AS section, turn AS row, 1 AS col, 1 AS row_span, 1 AS col_span, text, CASE WHEN role = 'assistant' THEN turn END AS image_id, CAST(NULL AS BIGINT) AS inline_id FROM conversations), {_CAPTIONS}
+SELECT 'conv' || section AS doc, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(bin_id AS INT) AS bin_id, caption, band, caption_source FROM z""")
 def caption_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as tables of two columns: the second speaker's cells hold pictures."""
     from tesserae.operators.captions import resolve_captions
@@ -500,6 +566,24 @@ def caption_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_captions(cell).select("doc", "row", "col", "bin_id", "caption", "band", "caption_source")
 
 
+@query(f"""WITH RECURSIVE {_CELLS}, {_CAPTIONS} SELECT section, photo_no, row, col, bin_id, caption, band, caption_source FROM z""")
+def caption_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables of ten rows and four columns: types head three rows each, names are cells, and two in five cells hold pictures."""
+    from tesserae.operators.captions import resolve_captions
+
+    key, size, row = F.col("p_partkey"), F.col("p_size"), F.floor(F.col("p_partkey") % 40 / 4)
+    col, heads = key % 4, (key % 4 == 0) & (row % 3 == 0)
+    photo = (col > 0) & (key * 7 % 5 < 2)
+    name = F.when(col == 0, F.when(heads, F.col("p_type")).otherwise("")).when(size % 9 == 0, "").otherwise(F.col("p_name"))
+    inline = F.when((col > 0) & (key * 7 % 5 == 1) & (size % 3 == 0), F.array((key + 1_000_000).cast("int")))
+    cell = _table(spark, sf_dir, "part").select(
+        F.lit("parts").alias("doc"), F.floor(key / 40).alias("section"), F.lit(1).alias("table_order"), row.cast("int").alias("row"), col.cast("int").alias("col"),
+        F.when(heads, 3).otherwise(1).alias("row_span"), F.when((size % 7 == 0) & col.isin(1, 2), 2).otherwise(1).alias("col_span"),
+        F.when(photo & (row % 2 == 0), "").otherwise(name).alias("text"), F.when(photo, key.cast("int")).alias("image_id"), F.coalesce(inline, F.array().cast("array<int>")).alias("inline_ids"),
+    )
+    return resolve_captions(cell).select("section", "photo_no", "row", "col", "bin_id", "caption", "band", "caption_source")
+
+
 _CANDIDATES = """b AS (SELECT CAST(l_orderkey AS VARCHAR) AS query_id, 'p' || l_partkey || '-' || l_linenumber AS path, (CAST(floor(l_extendedprice) AS BIGINT) % 1000) / 1000.0::DOUBLE AS score,
   CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 0 THEN CASE l_orderkey % 4 WHEN 0 THEN '사진 고유 ID' WHEN 1 THEN '촬영시각+1/100초+기종' WHEN 2 THEN '촬영시각+기종' ELSE '촬영시각' END ELSE '' END AS exif_key,
   l_suppkey % 6 = 0 AS name_match, l_partkey % 5 = 0 AS exif_conflict, l_linenumber = 3 AS mirrored, l_linestatus = 'O' AS identical_file,

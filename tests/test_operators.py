@@ -11,6 +11,7 @@ from tesserae.operators import hamming
 from tesserae.operators import joins as J
 from tesserae.operators import matching as M
 from tesserae.operators import ranking as R
+from tesserae.operators.assignment import best_pairs
 from tesserae.plans import placement, proxies
 
 
@@ -395,13 +396,63 @@ def test_two_pictures_do_not_share_an_original(spark):
     slot = lambda n, score, *others: ("d", n, ("a", score), [(p, 0.5) for p in others], S.CERTAIN, "")
     pick = "struct<path: string, score: double>"
     shape = f"doc string, doc_order int, best {pick}, runners_up array<{pick}>, verdict string, message string"
-    run = lambda *slots: sorted(M.assign_exclusive(spark.createDataFrame(slots, shape)).collect(), key=lambda r: r.doc_order)
+    run = lambda *slots, **how: sorted(M.assign_exclusive(spark.createDataFrame(slots, shape), **how).collect(), key=lambda r: r.doc_order)
     done = run(slot(0, 0.9, "b"), slot(1, 0.95), slot(2, 0.8, "a", "c"))
+    assert [d.best.path for d in done] == ["b", "a", "c"] and [len(d.runners_up) for d in done] == [0, 0, 0]
+    done = run(slot(0, 0.9, "b"), slot(1, 0.95), slot(2, 0.8, "a", "c"), to_the_end=False)
     assert [d.best.path for d in done] == ["b", "a", "a"] and [d.verdict for d in done] == [S.REVIEW, S.CERTAIN, S.REVIEW] and done[0].message and not done[1].message
     done = run(slot(0, 0.9), slot(1, 0.8), slot(2, 0.9, "x"))
     assert [d.verdict for d in done] == [S.CERTAIN, S.NOT_FOUND, S.REVIEW]
 
 
+def test_exclusive_as_deferred_acceptance(spark):
+    """Against one proposal at a time; and no two slots of a document end with one original."""
+    rnd = np.random.RandomState(8)
+    slots = []
+    for doc in range(12):
+        for n in range(int(rnd.randint(1, 9))):
+            paths = rnd.permutation(6)[: rnd.randint(1, 5)]
+            picks = [(f"p{p}", float(rnd.randint(5)) / 4) for p in paths]
+            slots.append((f"d{doc}", n, picks[0] if rnd.rand() < 0.9 else None, picks[1:], S.CERTAIN, ""))
+    want = {}
+    for doc in {s[0] for s in slots}:
+        choices = {n: [best, *rest] if best else [] for d, n, best, rest, *_ in slots if d == doc}
+        held, at, waiting = {}, dict.fromkeys(choices, 0), sorted(choices)
+        while waiting:
+            n = waiting.pop()
+            if at[n] >= len(choices[n]):
+                continue
+            path, score = choices[n][at[n]]
+            rival = held.get(path)
+            if rival is None or (-score, n) < (-choices[rival][at[rival]][1], rival):
+                held[path] = n
+                waiting += [] if rival is None else [rival]
+                if rival is not None:
+                    at[rival] += 1
+            else:
+                at[n] += 1
+                waiting.append(n)
+        want |= {(doc, n): next((p for p, h in held.items() if h == n), None) for n in choices}
+    pick = "struct<path: string, score: double>"
+    df = spark.createDataFrame(slots, f"doc string, doc_order int, best {pick}, runners_up array<{pick}>, verdict string, message string")
+    assert {(r.doc, r.doc_order): r.best and r.best.path for r in M.assign_exclusive(df).collect()} == want
+
+
+def test_best_pairs_as_one_pass_in_order(spark):
+    rnd = np.random.RandomState(11)
+    rows = [(int(rnd.randint(5)), int(rnd.randint(12)), int(rnd.randint(9)), int(rnd.randint(4)), n, bool(rnd.rand() < 0.2)) for n in range(400)]
+    df = spark.createDataFrame(rows, "t int, a int, b int, score int, n int, shared boolean").repartition(3)
+    got = {r.n for r in best_pairs(df, ["t", "a"], ["t", "b"], [F.desc("score"), F.col("n")], "shared").collect()}
+    want, left, right = set(), set(), set()
+    for t, a, b, _, n, shared in sorted(rows, key=lambda r: (-r[3], r[4])):
+        if (t, a) not in left and (shared or (t, b) not in right):
+            want.add(n)
+            left.add((t, a))
+            right |= set() if shared else {(t, b)}
+    assert got == want
+    assert best_pairs(df.limit(0), ["t", "a"], ["t", "b"], [F.col("n")]).count() == 0
+
+
 def test_close_look_separates(spark):
     rnd = np.random.RandomState(0)
     a = rnd.rand(256, 256, 3) * 255
