@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 # Fixed values of captions and file names.
 MAX_CAPTION = 40
@@ -149,12 +149,12 @@ def apply_template(template: str, variables: Column) -> Column:
     return fill(variables)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def close_matches(wanted: pd.Series, names: pd.Series) -> pd.Series:
-    """Up to three of the names, by falling Ratcliff-Obershelp ratio of 0.9 or more."""
+@F.pandas_udf(DoubleType())
+def name_ratio(names: pd.Series, wanted: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of a name to the one that is looked for."""
     import difflib
 
-    return pd.Series([difflib.get_close_matches(w or "", [n for n in ns if n is not None], n=3, cutoff=0.90) for w, ns in zip(wanted, names, strict=True)])
+    return pd.Series([difflib.SequenceMatcher(None, n, w).ratio() for n, w in zip(names, wanted, strict=True)], dtype="f8")
 
 
 def human_size(n: Column) -> Column:

@@ -7,13 +7,14 @@ import shutil
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import similarity as S
 from tesserae.functions import text as T
-from tesserae.operators import joins as J
+from tesserae.operators import names as N
 from tesserae.operators import ranking as R
+from tesserae.operators.stages import written
 
 PLAIN, SUFFIX, SUBDIR, SKIP = "plain", "suffix", "subdir", "skip"
 ORIGINAL, LOWRES = "원본", "저용량"
@@ -50,49 +51,88 @@ def plan_names(slots: DataFrame, fields: DataFrame, template: str = "{이름}")
     return numbered.join(maps, "doc", "left").withColumn("name", F.coalesce(F.nullif(filled, F.lit("")), "numbered")).drop("_fields", "numbered")
 
 
+def _folder_answers(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """doc, step, how, answer, made, order: every folder that a document's name or fields mean, in steps of falling strength.
+
+    asked: doc, value, tier. named: folder, made. Equal names first (of the file, then of its fields), then names inside the file's name, the
+    longest first, then close ones; numbers must agree throughout. Folders that are there go before those that are made.
+    """
+    loose = lambda c: T.loose(T.nfc(c))
+    digits = lambda c: T.digit_signature(T.nfc(c))
+    named = named.select("folder", "made", loose(F.col("folder")).alias("norm"), digits(F.col("folder")).alias("fd"))
+    asked = asked.withColumns({"norm": loose(F.col("value")), "dd": digits(F.col("value"))})
+    agree = T.digits_agree(F.col("fd"), F.col("dd"))
+    turn = F.when(F.col("made"), "1").otherwise("0")
+    names = F.array(*[F.lit(f"'{n}' 값과 폴더 이름이 같음" if n else "문서와 폴더 이름이 같음") for n in ("", *FOLDER_FIELDS)])
+    row = lambda step, how, order: ["doc", step.alias("step"), how.alias("how"), F.col("folder").alias("answer"), "made", order.alias("order")]
+    equal = asked.join(named, "norm").filter(agree).select(*row(F.col("tier"), F.get(names, F.col("tier")), F.concat(turn, "folder")))
+    own, after = asked.filter("tier = 0"), len(FOLDER_FIELDS) + 1
+    held = N.inside(own, named, "norm", "norm").join(own.withColumnRenamed("norm", "text"), "text").join(named.withColumnRenamed("norm", "name"), "name").filter(agree)
+    long_first = F.concat(F.lpad((10_000 - F.length("folder")).cast("string"), 6, "0"), turn, "folder")
+    held = held.select(*row(F.lit(after), F.lit("문서 이름이 폴더 이름을 품음"), long_first))
+    near = N.close_candidates(asked, named, "value", "folder").join(asked.withColumnRenamed("value", "text"), "text").join(named.withColumnRenamed("folder", "name"), "name").filter(agree)
+    near = near.select("doc", "tier", "text", "name", "made").withColumn("ratio", T.name_ratio("name", "text")).filter(F.col("ratio") >= N.CLOSE).withColumnRenamed("name", "folder")
+    falling = F.lpad((1_000_000_000 - F.round(F.col("ratio") * 1_000_000_000)).cast("long").cast("string"), 10, "0")
+    near = near.select(*row(F.lit(after + 1) + F.col("tier"), F.lit("폴더 이름이 가까움"), falling))
+    return equal.unionByName(held).unionByName(near)
+
+
+def _makers(answers: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc, made of the documents that find no folder when they come in order: one that an earlier document had to make is found by later ones.
+
+    docs: doc, own (the folder it would make). A document is settled once an earlier maker's folder answers it, or no earlier document that
+    may still make one of its answers is open: those settle in rounds, and each round settles the first open document at least.
+    """
+    there = answers.filter("not made").select("doc").distinct()
+    open_ = docs.join(there, "doc", "left_anti").select("doc", "own")
+    may = answers.filter("made").select("doc", F.col("answer").alias("own")).distinct().withColumnRenamed("doc", "by")
+    makers = None
+    while True:
+        open_ = written(open_, "open")
+        if open_.isEmpty():
+            return makers if makers is not None else open_.select("doc", F.col("own").alias("made"))
+        first = open_.groupBy("own").agg(F.min("doc").alias("first"))
+        asks = open_.select(F.col("doc").alias("by")).join(may, "by").join(first, "own").filter(F.col("first") < F.col("by")).select(F.col("by").alias("doc")).distinct()
+        now = written(open_.join(asks, "doc", "left_anti").select("doc", F.col("own").alias("made")), "makers")
+        makers = now if makers is None else makers.unionByName(now)
+        by = now.groupBy("made").agg(F.min("doc").alias("maker"))
+        found = may.join(by, F.col("own") == F.col("made")).filter(F.col("maker") < F.col("by")).select(F.col("by").alias("doc")).distinct()
+        open_ = open_.join(now, "doc", "left_anti").join(found, "doc", "left_anti")
+
+
 def resolve_folders(docs: DataFrame, fields: DataFrame, folders: DataFrame, dest: str, create_missing: bool = True) -> DataFrame:
-    """doc, folder, how, created. docs: doc, doc_name; folders: folder (a name below dest).
+    """doc, folder, how, created, ambiguous. docs: doc, doc_name; folders: folder (a name below dest).
 
-    Equal names first (of the file, then of its fields), then names inside the file's name, then close
-    ones; numbers must agree throughout. Two documents that need the same new folder share it, so a
-    folder made for one is found by the other without a second pass.
+    Documents come in the order of their paths: a folder that one has to make answers later ones by any step, and none before it.
     """
     stem = T.stem(T.base_name(F.col("doc")))
     wanted = docs.select("doc", stem.alias("value"), F.lit(0).alias("tier"))
     for k, name in enumerate(FOLDER_FIELDS):
         wanted = wanted.unionByName(fields.filter(F.col("key") == name).select("doc", "value", F.lit(k + 1).alias("tier")))
-    loose = lambda c: T.loose(T.nfc(c))
-    digits = lambda c: T.digit_signature(T.nfc(c))
-    named = folders.select("folder", loose(F.col("folder")).alias("norm"), digits(F.col("folder")).alias("fd"))
-    asked = wanted.withColumns({"norm": loose(F.col("value")), "dd": digits(F.col("value"))})
-    agree = T.digits_agree(F.col("fd"), F.col("dd"))
-    equal = asked.join(named, "norm").filter(agree)
-    steps = []
-    for k, name in enumerate(("", *FOLDER_FIELDS)):
-        how = f"'{name}' 값과 폴더 이름이 같음" if name else "문서와 폴더 이름이 같음"
-        steps.append((how, equal.filter(F.col("tier") == k).select("doc", F.col("folder").alias("answer"), F.col("folder").alias("order"))))
-    # Folder names inside a file's name meet it by one of the name's substrings: an equality join.
-    own = asked.filter("tier = 0")
-    starts = F.sequence(F.lit(1), F.length("norm"))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("norm") - i + 1), lambda n: F.substr(F.col("norm"), i, n))))
-    parts = own.filter("norm <> ''").select("doc", "dd", F.explode(F.array_distinct(pieces)).alias("norm"))
-    inside = parts.join(named.filter("norm <> ''"), "norm").filter(agree)
-    long_first = F.concat(F.lpad((10_000 - F.length("folder")).cast("string"), 6, "0"), "folder")
-    steps.append(("문서 이름이 폴더 이름을 품음", inside.select("doc", F.col("folder").alias("answer"), long_first.alias("order"))))
-    # Close names are looked for only among folders with the same number, or without any.
-    key = lambda c: F.coalesce(F.array_max(c), F.lit(-1))
-    by_digit = named.select("folder", "fd", F.explode(F.when(F.size("fd") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.slice("fd", 1, 1))).alias("d"))
-    ask = asked.select("doc", "value", "tier", "dd", F.explode(F.when(F.size("dd") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct("dd"))).alias("d"))
-    near = ask.join(by_digit, "d").filter(agree).groupBy("doc", "value", "tier").agg(F.sort_array(F.collect_set("folder")).alias("names"))
-    close = near.select("doc", "tier", F.posexplode(T.close_matches("value", "names")).alias("n", "answer"))
-    steps.append(("폴더 이름이 가까움", close.select("doc", "answer", F.concat("tier", F.lit("-"), "n").alias("order"))))
-    found = J.cascade(docs.select("doc"), "doc", steps)
-    made = T.sanitize(T.stem(T.base_name(F.col("doc"))))
-    folder = F.coalesce("answer", made) if create_missing else F.col("answer")
+    own = docs.select("doc", T.sanitize(stem).alias("own"))
+    named = folders.select("folder", F.lit(False).alias("made"))
+    if create_missing:
+        own = written(own, "folders-own")
+        new = own.select(F.col("own").alias("folder")).distinct().join(folders.select("folder"), "folder", "left_anti")
+        named = named.unionByName(new.withColumn("made", F.lit(True)))
+    answers = _folder_answers(wanted.filter("value is not null"), named)
+    if create_missing:
+        answers = written(answers, "folders")
+        makers = _makers(answers, own)
+        by = makers.groupBy(F.col("made").alias("answer")).agg(F.min("doc").alias("maker"))
+        answers = answers.join(by, "answer", "left").filter(~F.col("made") | (F.col("maker") < F.col("doc")))
+    best = Window.partitionBy("doc").orderBy("step", "order", F.desc("answer"))
+    ranked = answers.withColumns({"_n": F.row_number().over(best), "_step": F.min("step").over(Window.partitionBy("doc"))}).filter("step = _step")
+    found = ranked.groupBy("doc").agg(
+        F.min_by("answer", "_n").alias("answer"), F.min_by("how", "_n").alias("how"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("_n").between(2, 3), F.struct("_n", "answer")))), lambda x: x["answer"]).alias("ambiguous"),
+    )
+    rows = own.join(found, "doc", "left")
+    folder = F.coalesce("answer", "own") if create_missing else F.col("answer")
     none = "알맞은 폴더가 없어 만듦" if create_missing else "알맞은 폴더 없음"
-    return found.select(
+    return rows.select(
         "doc", F.when(folder.isNotNull(), F.concat(F.lit(dest.rstrip("/") + "/"), folder)).alias("folder"), F.coalesce("how", F.lit(none)).alias("how"),
-        (F.col("answer").isNull() & F.lit(create_missing)).alias("created"), F.coalesce("others", F.array().cast("array<string>")).alias("ambiguous"),
+        (F.col("answer").isNull() & F.lit(create_missing)).alias("created"), F.coalesce("ambiguous", F.array().cast("array<string>")).alias("ambiguous"),
     )
 
 

@@ -487,6 +487,20 @@ def exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc", "doc_order", F.col("best.path").alias("path"), F.round("best.score", 4).alias("score"), "verdict")
 
 
+@query("""WITH t AS (SELECT c_custkey, c_name || ' ' || c_mktsegment AS text FROM customer), n AS (SELECT DISTINCT CAST(s_suppkey * 37 AS VARCHAR) AS name FROM supplier),
+m AS (SELECT c_custkey, name, row_number() OVER (PARTITION BY c_custkey ORDER BY length(name) DESC, name) AS k, count(*) OVER (PARTITION BY c_custkey) AS n FROM t JOIN n ON contains(text, name))
+SELECT c_custkey, name, n FROM m WHERE k = 1""")
+def longest_name_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of the suppliers' numbers that stands in a customer's name, and how many do."""
+    from tesserae.operators.names import inside
+
+    texts = _table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    names = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37).cast("string").alias("name"))
+    held = inside(texts, names, "text", "name").withColumn("size", F.struct(-F.length("name"), "name"))
+    best = held.groupBy("text").agg(F.min_by("name", "size").alias("name"), F.count("*").alias("n"))
+    return texts.join(best, "text").select("c_custkey", "name", "n")
+
+
 _CLAIMS = """l AS (SELECT l_orderkey // 4 AS doc, l_orderkey * 8 + l_linenumber AS doc_order, [l_partkey % 5, l_suppkey % 7, (l_partkey + l_suppkey) % 9, l_partkey % 11] AS paths,
   [(l_partkey * 31 + l_linenumber) % 97, l_suppkey * 17 % 89, (l_partkey + l_suppkey * 3) % 83, l_partkey % 13] AS scores
   FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem WHERE l_linenumber < 8 GROUP BY 1, 2)),

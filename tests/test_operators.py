@@ -10,6 +10,7 @@ from tesserae.operators import captions as C
 from tesserae.operators import hamming
 from tesserae.operators import joins as J
 from tesserae.operators import matching as M
+from tesserae.operators import names as N
 from tesserae.operators import ranking as R
 from tesserae.operators.assignment import best_pairs
 from tesserae.plans import placement, proxies
@@ -509,3 +510,86 @@ def test_targets_of_different_names_do_not_collide(spark):
     assert free(["a", "a", "a-2", "a", "a-2"], ["a.jpg", "a-3.jpg", "other", "b-x.jpg"]) == {0: "a-2.jpg", 1: "a-4.jpg", 2: "a-2-2.jpg", 3: "a-5.jpg", 4: "a-2-3.jpg"}
     many = free(["x"] * 1500)
     assert len(set(many.values())) == 1500 and many[1499] == "x-1500.jpg"
+
+
+# --------------------------------------------------------------------------- folder names
+
+
+def test_names_inside_as_brute_force(spark):
+    rnd = np.random.RandomState(5)
+    word = lambda n: "".join(rnd.choice(list("ab가 나-1"), n))
+    texts = {word(int(rnd.randint(0, 30))) for _ in range(120)} | {"", "x", "abc"}
+    names = {word(int(rnd.randint(0, 6))) for _ in range(60)} | {"", "x", "abcd", "bc"} | {t[3:9] for t in texts}
+    got = N.inside(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(n,) for n in names], "n string"), "t", "n")
+    want = {(t, n) for t in texts for n in names if n and n in t}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 300
+
+
+def test_close_names_as_brute_force(spark):
+    import difflib
+
+    rnd = np.random.RandomState(6)
+    names = {"".join(rnd.choice(list("abcdef가나다 -12"), int(rnd.randint(1, 40)))) for _ in range(150)} | {"a", "aa", "aaaaaaaaaaaa", "abababababab"}
+    texts = set(names)
+    for n in names:
+        for _ in range(3):
+            t = list(n)
+            for _ in range(int(rnd.randint(0, 1 + len(t) // 5))):
+                at = int(rnd.randint(len(t) + 1))
+                t[at : at + int(rnd.randint(2))] = list(rnd.choice(list("abx가"), int(rnd.randint(3))))
+            texts.add("".join(t))
+    met = N.close_candidates(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(n,) for n in names], "n string"), "t", "n")
+    ratio = lambda n, t: difflib.SequenceMatcher(None, n, t).ratio()
+    pairs = {tuple(r) for r in met.collect()}
+    want = {(t, n): ratio(n, t) for t in texts for n in names if t and ratio(n, t) >= N.CLOSE}
+    assert set(want) <= pairs and len(want) > 300 and len(pairs) < len(texts) * len(names) // 4
+    rated = spark.createDataFrame(list(want), "t string, n string").select("t", "n", T.name_ratio("n", "t").alias("r")).collect()
+    assert all(r.r == want[r.t, r.n] for r in rated)
+
+
+def folders_in_order(docs, fields, folders):
+    """A folder for each document, one after the other; what one makes is there for the next."""
+    import difflib
+
+    loose = lambda t: re.sub(r"\s+", "", t.lower())
+    digits = lambda t: {int(x) for x in re.findall(r"\d+", t)}
+    agree = lambda f, v: not digits(f) and not digits(v) or bool(digits(f)) and bool(digits(v)) and digits(f) <= digits(v)
+    there, made, out = sorted(folders), [], {}
+    for doc in sorted(docs):
+        stem = doc.rsplit("/", 1)[-1].removesuffix(".hwp")
+        values = [stem, *[fields[doc][f] for f in placement.FOLDER_FIELDS if f in fields.get(doc, {})]]
+        every = there + made
+        found = next((f for v in values for f in every if loose(f) == loose(v) and agree(f, v)), None)
+        if found is None:
+            inner = sorted((f for f in every if loose(f) and loose(f) in loose(stem) and agree(f, stem)), key=lambda f: -len(f))
+            found = inner[0] if inner else None
+        for v in values if found is None else []:
+            near = difflib.get_close_matches(v, [f for f in every if agree(f, v)], n=3, cutoff=0.90)
+            if near:
+                found = near[0]
+                break
+        new = T.safe_name(stem)
+        out[doc] = (found or new, found is None)
+        made += [new] * (found is None)
+    return out
+
+
+def test_folders_as_one_after_the_other(spark):
+    rnd = np.random.RandomState(12)
+    bases = ["서원 담장", "옛 우물터", "고분 북벽 자료", "산성 서문 조사 보고 자료", "성곽 남쪽 사진 모음 자료집"]
+    docs = {}
+    for k in range(140):
+        name = bases[rnd.randint(5)]
+        for _ in range(int(rnd.randint(3))):
+            at = int(rnd.randint(len(name)))
+            name = name[:at] + str(rnd.choice(["", "가", " ", "ab", "나"])) + name[at + int(rnd.randint(2)) :]
+        name = name.strip() + str(rnd.choice(["", "", f" {rnd.randint(4)}", " 추가분"]))
+        docs[f"/in/{rnd.randint(10)}/{name.strip() or 'x'}.hwp"] = None
+    fields = {d: {str(rnd.choice(placement.FOLDER_FIELDS)): bases[rnd.randint(5)] + str(rnd.choice(["", " 1"]))} for d in docs if rnd.rand() < 0.2}
+    folders = ["서원 담장 2", "우물"]
+    rows = [(d, k, v) for d, f in fields.items() for k, v in f.items()]
+    got = placement.resolve_folders(spark.createDataFrame([(d,) for d in docs], "doc string"), spark.createDataFrame(rows, "doc string, key string, value string"), spark.createDataFrame([(f,) for f in folders], "folder string"), "/out").collect()
+    want = folders_in_order(docs, fields, folders)
+    found = {r.doc: (r.folder.removeprefix("/out/"), r.created) for r in got}
+    assert {d: (found[d], want[d]) for d in want if found[d] != want[d]} == {} and set(found) == set(want)
+    assert 5 < sum(c for _, c in want.values()) < len(docs) - 20
