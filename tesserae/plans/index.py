@@ -1,4 +1,4 @@
-"""The photo index: a Parquet snapshot that a refresh replaces, reading only files that are new or changed."""
+"""The photo index: Parquet in buckets of paths. A refresh reads files that are new or changed and rewrites the buckets of what changed."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from tesserae.functions import imaging as I
 from tesserae.functions import similarity as S
 from tesserae.operators import joins as J
 from tesserae.operators import ranking as R
+from tesserae.operators.merge import file_system, merge, read_buckets
 from tesserae.sources import files, images
 
 #: Part of the snapshot's path: an index of another version is built anew.
-VERSION = 5
+VERSION = 6
 COLUMNS = (
     "path string, size bigint, mtime double, width int, height int, taken_at string, subsec string, make string, model string, settings string, gps string, "
     f"unique_id string, head_sha1 string, thumbed boolean, {I.PRINT_SCHEMA}, error string"
@@ -25,15 +26,12 @@ def _snapshot(index_path: str) -> str:
     return f"{index_path.rstrip('/')}/v{VERSION}"
 
 
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+_file_system = file_system
 
 
 def load(spark: SparkSession, index_path: str, roots: list[str] | None = None) -> DataFrame:
     """The index, or an empty one; with roots, only what is below them."""
-    system, at = _file_system(spark, _snapshot(index_path))
-    rows = spark.read.schema(COLUMNS).parquet(_snapshot(index_path)) if system.exists(at) else spark.createDataFrame([], COLUMNS)
+    rows = read_buckets(spark, _snapshot(index_path), COLUMNS)
     return rows if roots is None else rows.filter(below("path", roots))
 
 
@@ -85,23 +83,15 @@ def refresh(spark: SparkSession, roots: list[str], index_path: str, fast: bool =
     work = f"{index_path.rstrip('/')}/work-{uuid.uuid4().hex}"
     J.snapshot_diff(known.filter(below("path", roots)).select("path", "size", "mtime"), current, "path", same).write.parquet(f"{work}/diff")
     diff = spark.read.parquet(f"{work}/diff")
-    kept = known.join(diff.filter("state <> 'same'").select("path"), "path", "left_anti")
-    parts = f"{work}/snapshot"
-    kept.write.parquet(parts)
+    parts = f"{work}/read"
+    spark.createDataFrame([], COLUMNS).write.parquet(parts)
     for batch in images.batches_of(diff.filter("state in ('new', 'changed')")):
         analyse(spark, batch, work, fast).write.mode("append").parquet(parts)
     now = spark.read.schema(COLUMNS).parquet(parts)
     states = diff.join(now.select("path", "error", "thumbed"), "path", "left")
     read = F.col("state").isin("new", "changed")
     counts = R.refresh_stats(states, read & (F.col("error") != ""), read & F.col("thumbed")).first().asDict()
-    system, target = _file_system(spark, _snapshot(index_path))
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    old = path(f"{_snapshot(index_path)}-old")
-    if system.exists(old):
-        system.delete(old, True)
-    if system.exists(target):
-        system.rename(target, old)
-    system.rename(path(parts), target)
-    system.delete(path(work), True)
-    system.delete(old, True)
+    merge(spark, _snapshot(index_path), COLUMNS, "path", now, diff.filter("state <> 'same'").select("path"), work)
+    system, at = file_system(spark, work)
+    system.delete(at, True)
     return {k: int(v) for k, v in counts.items()}

@@ -10,6 +10,7 @@ from tesserae.operators import captions as C
 from tesserae.operators import hamming
 from tesserae.operators import joins as J
 from tesserae.operators import matching as M
+from tesserae.operators import merge
 from tesserae.operators import names as N
 from tesserae.operators import ranking as R
 from tesserae.operators.assignment import best_pairs
@@ -593,3 +594,30 @@ def test_folders_as_one_after_the_other(spark):
     found = {r.doc: (r.folder.removeprefix("/out/"), r.created) for r in got}
     assert {d: (found[d], want[d]) for d in want if found[d] != want[d]} == {} and set(found) == set(want)
     assert 5 < sum(c for _, c in want.values()) < len(docs) - 20
+
+
+# --------------------------------------------------------------------------- buckets
+
+
+def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    import glob
+    import os
+
+    target, work, schema = f"{tmp_path}/table", f"{tmp_path}/work", "path string, n int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{target}/bucket=*/*.parquet")}
+    rows = {f"p{i}": i for i in range(200)}
+    assert merge.read_buckets(spark, target, schema).count() == 0
+    written = merge.merge(spark, target, schema, "path", frame(list(rows.items())), frame([]), work, 16)
+    assert written == list(range(16))
+    before = files()
+    touched = merge.merge(spark, target, schema, "path", frame([("p3", -3), ("new", 1)]), frame([("p7", 0), ("none", 0)]), work, 16)
+    rows = {k: v for k, v in rows.items() if k != "p7"} | {"p3": -3, "new": 1}
+    assert {r.path: r.n for r in merge.read_buckets(spark, target, schema).collect()} == rows
+    after, number = files(), lambda f: int(re.search(r"bucket=(\d+)", f)[1])
+    assert len(touched) < 6 and {f for f in before if number(f) not in touched} == {f for f in after if number(f) not in touched}
+    assert all(after[f] == before[f] for f in before if number(f) not in touched) and not {f for f in before if number(f) in touched} & set(after)
+    everything = frame([(k, 0) for k in rows])
+    merge.merge(spark, target, schema, "path", frame([]), everything, work, 16)
+    assert merge.read_buckets(spark, target, schema).count() == 0 and not os.listdir(work)
+    assert merge.merge(spark, target, schema, "path", frame([]), frame([]), work, 16) == []
