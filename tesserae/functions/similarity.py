@@ -113,3 +113,31 @@ def same_photo(a: str, b: str) -> Column:
         .when(tile_distance(x("tiles"), y("tiles")) > 10, False)
         .otherwise(ncc(x("gray"), y("gray")) > 0.97)
     )
+
+
+def local_peak(a: Column, b: Column, side: int, grid: int, channels: int) -> Column:
+    """The greatest mean absolute difference of a patch: pictures of side x side pixels, row by row, cut into grid x grid patches."""
+    step = side // grid
+
+    def of(gap: Column) -> Column:
+        first = lambda p, r: ((F.floor(p / grid) * step + r) * side + p % grid * step) * channels + 1
+        line = lambda p, r: _sum(F.slice(gap, first(p, r).cast("int"), F.lit(step * channels)))
+        lines = F.sequence(F.lit(0), F.lit(step - 1))
+        patch = lambda p: F.aggregate(lines, F.lit(0.0), lambda s, r: s + line(p, r)) / float(step * step * channels)
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), patch))
+
+    gap = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return F.get(F.transform(F.array(gap), of), F.lit(0))
+
+
+def refined_score(score: Column, a: Column, b: Column, side: int, grid: int, channels: int) -> Column:
+    """The score after comparing two pictures pixel by pixel: correlation less the worst patch."""
+
+    def grey(pixels: Column) -> Column:
+        at = lambda i: _sum(F.transform(F.slice(pixels, (i * channels + 1).cast("int"), F.lit(channels)), lambda v: v.cast("double"))) / float(channels)
+        return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), at)
+
+    both = F.array(F.struct(grey(a).alias("a"), grey(b).alias("b")))
+    alike = F.get(F.transform(both, lambda x: ncc(x["a"], x["b"])), F.lit(0))
+    worst = F.least(F.lit(0.40), local_peak(a, b, side, grid, channels) / REFINE_SCALE)
+    return 0.30 * score + 0.70 * F.greatest(F.lit(0.0), alike - worst)

@@ -127,11 +127,12 @@ def _by_bands(asked: DataFrame, rows: DataFrame, k: int, bands: Bands, shape: st
         masks = [sum(1 << b for b in bits) for r in radii for bits in combinations(range(bands.width), r)]
         flips = spark.createDataFrame([(radius, masks)], "r int, masks array<bigint>")  # MOST_KEYS numbers, about
         probes = open_.select("*", F.lit(radius).alias("r"), F.posexplode(bands.keys(F.col("w"))).alias("band", "own")).filter("band < ask")
-        probes = probes.join(flips, "r").select("q", "v", "w", "band", F.explode(F.transform("masks", lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
-        hits = probes.join(keyed, ["band", "key"]).select("q", "i", far.alias("distance"), "v")
+        probes = probes.join(flips, "r").select("q", "v", "w", "ask", "band", F.explode(F.transform("masks", lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
+        met = probes.join(keyed, ["band", "key"])
+        # What lies beyond this round and the next one says nothing about them.
+        hits = met.filter(far < bands.m * (radius + 1) + F.col("ask")).select("q", "i", far.alias("distance"), "v")
         if done is not None:
-            hits = written(hits, "bands-met")
-            done["banded"] += hits.count()
+            done["banded"] += met.count()
         held = written(_best(held.join(open_.select("q").distinct(), "q", "left_semi").unionByName(hits), k), "bands-best")
         kth = held.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
         status = open_.join(kth, "q", "left").withColumn("kth", F.when(F.col("n") >= k, F.col("kth")))

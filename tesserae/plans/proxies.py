@@ -103,6 +103,21 @@ def score_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).filter("rank <= 4").select("query_id", "vec_id", "score", "rank", "margin")
 
 
+@query(f"""WITH {_SCORED}, three AS (SELECT g.query_id, g.vec_id, g.score, n.ncc, m.qe, m.xe FROM g JOIN n USING (query_id, vec_id) JOIN m USING (query_id, vec_id) WHERE g.rank <= 3),
+gaps AS (SELECT *, list_transform(range(1, 65), lambda i: abs(qe[i] * 40 - xe[i] * 40)) AS gap FROM three),
+peaks AS (SELECT *, list_max(list_transform(range(0, 16), lambda p: (gap[p // 4 * 16 + p % 4 * 2 + 1] + gap[p // 4 * 16 + p % 4 * 2 + 2] + gap[p // 4 * 16 + p % 4 * 2 + 9] + gap[p // 4 * 16 + p % 4 * 2 + 10]) / 4)) AS peak FROM gaps)
+SELECT query_id, vec_id, round(0.30 * score + 0.70 * greatest(0.0, ncc - least(0.40, peak / 120.0)), 6) AS score FROM peaks""")
+def refined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best of each query weighed anew, vectors as pictures of 8 x 8 pixels in patches of 2 x 2."""
+    from tesserae.operators.matching import refine
+
+    q, x = _vectors(spark, sf_dir)
+    found = _scored(spark, sf_dir).filter("rank <= 3").selectExpr("query_id", "vec_id as path", "score")
+    pixels = lambda df, i, c: df.select(F.col("vec_id").alias(i), F.transform("e", lambda v: v * 40).alias(c))
+    closer = found.select("query_id", "path").join(pixels(q, "query_id", "a"), "query_id").join(pixels(x, "path", "b"), "path")
+    return refine(found, closer, 8, 4, 1).select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_SCORED} SELECT query_id, vec_id, score, margin, {_VERDICT} AS verdict FROM g WHERE rank = 1")
 def best_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: for each query vector its best original, score, margin and verdict."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
@@ -90,15 +91,19 @@ def variant_fingerprints(images: DataFrame) -> DataFrame:
     return images.mapInPandas(work, f"path string, ordinal int, orientation string, width int, height int, {I.PRINT_SCHEMA}")
 
 
+def _pixels(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1").astype("i2")
+
+
 def fine_pixels(images: DataFrame) -> DataFrame:
     """path, fine: pixels for a close comparison."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame([{"path": r.path, "fine": I.fine(I.from_spark_image(r.height, r.width, r.channels, bytes(r.data)))}])
+                yield pd.DataFrame([{"path": r.path, "fine": _pixels(I.fine(I.from_spark_image(r.height, r.width, r.channels, bytes(r.data))))}])
 
-    return images.mapInPandas(work, "path string, fine binary")
+    return images.mapInPandas(work, "path string, fine array<smallint>")
 
 
 def batches_of(paths: DataFrame, size: int = PATH_BATCH) -> Iterator[list[str]]:

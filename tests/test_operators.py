@@ -455,12 +455,28 @@ def test_best_pairs_as_one_pass_in_order(spark):
     assert best_pairs(df.limit(0), ["t", "a"], ["t", "b"], [F.col("n")]).count() == 0
 
 
+@pytest.mark.parametrize("side, grid, channels", [(8, 4, 1), (12, 3, 3), (256, 32, 3)])
+def test_refined_score_as_arrays(spark, side, grid, channels):
+    rnd = np.random.RandomState(1)
+    a = rnd.randint(0, 256, (side, side, channels))
+    spoilt = a.copy()
+    spoilt[: side // 4, : side // 4] //= 3
+    rows = [(f"x{n}", a.ravel().tolist(), b.ravel().tolist()) for n, b in enumerate([a, spoilt, rnd.randint(0, 256, a.shape), a * 0 + 7])] + [("none", None, a.ravel().tolist())]
+    closer = spark.createDataFrame([("q", *r) for r in rows], "query_id string, path string, a array<smallint>, b array<smallint>")
+    found = spark.createDataFrame([("q", r[0], 0.9) for r in rows] + [("q", "other", 0.5)], "query_id string, path string, score double")
+    got = {r.path: (r.score, r.refined) for r in M.refine(found, closer, side, grid, channels).collect()}
+    for path, x, y in rows[:-1]:
+        x, y = (np.array(v, "f8").reshape(side, side, channels) for v in (x, y))
+        step = side // grid
+        worst = np.abs(x - y).mean(2).reshape(grid, step, grid, step).mean((1, 3)).max()
+        u, v = x.mean(2) - x.mean(), y.mean(2) - y.mean()
+        n = np.linalg.norm(u) * np.linalg.norm(v)
+        ncc = (u * v).sum() / n if n > 1e-6 else 0.0
+        assert got[path] == (pytest.approx(0.27 + 0.7 * max(0.0, ncc - min(0.4, worst / 120))), True)
+    assert got["none"] == (0.9, False) and got["other"] == (0.5, False) and got["x0"][0] > got["x1"][0] + 0.05
+
+
 def test_close_look_separates(spark):
-    rnd = np.random.RandomState(0)
-    a = rnd.rand(256, 256, 3) * 255
-    b = a.copy()
-    b[:40, :40] = 0
-    assert M.refined_score(0.9, a, a) > M.refined_score(0.9, a, b) + 0.1
     cases = {
         "near": [candidate("a", 0.9), candidate("b", 0.89), candidate("c", 0.2)], "far": [candidate("a", 0.9), candidate("b", 0.5)],
         "keys": [candidate("a", 0.9, exif_key=S.KEY_MODEL), candidate("b", 0.89, exif_key=S.KEY_MODEL), candidate("c", 0.89)],
