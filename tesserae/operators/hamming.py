@@ -125,12 +125,11 @@ def _by_bands(asked: DataFrame, rows: DataFrame, k: int, bands: Bands, shape: st
     radii = range(radius + 1)  # small radii are one round
     while True:
         masks = [sum(1 << b for b in bits) for r in radii for bits in combinations(range(bands.width), r)]
-        flips = spark.createDataFrame([(radius, masks)], "r int, masks array<bigint>")  # MOST_KEYS numbers, about
-        probes = open_.select("*", F.lit(radius).alias("r"), F.posexplode(bands.keys(F.col("w"))).alias("band", "own")).filter("band < ask")
-        probes = probes.join(flips, "r").select("q", "v", "w", "ask", "band", F.explode(F.transform("masks", lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
+        flips = F.array(*[F.lit(x).cast("long") for x in masks])  # MOST_KEYS numbers, about
+        probes = open_.select("*", F.posexplode(bands.keys(F.col("w"))).alias("band", "own")).filter("band < ask")
+        probes = probes.select("q", "v", "w", "band", F.explode(F.transform(flips, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
         met = probes.join(keyed, ["band", "key"])
-        # What lies beyond this round and the next one says nothing about them.
-        hits = met.filter(far < bands.m * (radius + 1) + F.col("ask")).select("q", "i", far.alias("distance"), "v")
+        hits = met.filter(far <= bound).select("q", "i", far.alias("distance"), "v")  # what lies beyond is no result of a round
         if done is not None:
             done["banded"] += met.count()
         held = written(_best(held.join(open_.select("q").distinct(), "q", "left_semi").unionByName(hits), k), "bands-best")
