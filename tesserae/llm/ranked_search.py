@@ -102,7 +102,7 @@ class _Shard:
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The index of all documents, staged in the shared folder: shard, term, df, tokens, gaps, tfs, ids.
 
     A row per shard and term: documents with the term, gaps between their places and frequencies (unsigned 32-bit).
@@ -120,7 +120,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 words = text.as_buffer().to_pybytes().translate(_BYTES).split()
                 if words:
                     shard.add(i, words)
-                if len(shard.ids) >= SHARD_DOCS or shard.words >= SHARD_TOKENS:
+                if len(shard.ids) >= shard_docs or shard.words >= SHARD_TOKENS:
                     yield shard.batch(first + number, schema)
                     shard, number = _Shard(), number + 1
         if shard.ids:

@@ -9,7 +9,7 @@ from tesserae.llm import queries as Q
 @pytest.mark.parametrize("name", Q.oracle_sql())
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.execute(Q.oracle_sql()[name])
     names = [d[0] for d in found.description]
