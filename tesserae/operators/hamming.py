@@ -125,7 +125,7 @@ def _by_bands(asked: DataFrame, rows: DataFrame, k: int, bands: Bands, shape: st
     radii = range(radius + 1)  # small radii are one round
     while True:
         masks = [sum(1 << b for b in bits) for r in radii for bits in combinations(range(bands.width), r)]
-        flips = F.array(*[F.lit(x).cast("long") for x in masks])  # MOST_KEYS numbers, about
+        flips = F.expr(f"array({', '.join(f'{x}L' for x in masks)})")  # MOST_KEYS numbers, about
         probes = open_.select("*", F.posexplode(bands.keys(F.col("w"))).alias("band", "own")).filter("band < ask")
         probes = probes.select("q", "v", "w", "band", F.explode(F.transform(flips, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
         met = probes.join(keyed, ["band", "key"])
