@@ -166,6 +166,49 @@ SELECT s.doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce
 """
 
 
+def _edit(state: str, cost: str, letter: str) -> str:
+    """A state's best edits (cost in six digits, then letters) and one more."""
+    return f"lpad(CAST(CAST(left({state}, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({state}, 7) || '{letter}'"
+
+
+def _turned(state: str, initial: str) -> str:
+    """Keeping or renaming a turn from a state that the initial may follow."""
+    return f"CASE WHEN stays AND initial = '{initial}' THEN {_edit(state, 'extra', 'K')} END, CASE WHEN stays THEN {_edit(state, '2 + extra', 'R')} END"
+
+
+#: Forward over turns with the best edits of each state, where the operator goes backward; crc32 bit by bit.
+_OP11 = rf"""
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS t),
+k AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key, * FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM k, crc),
+e AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+        unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM e),
+f AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+r AS (SELECT *, fault IN ('', 'truncated') AS stays, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS extra FROM f),
+a AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000002I' AS s2, '000004II' AS s3 FROM conversations
+  UNION ALL SELECT conv_id, i, s0, s1, least(n2, n3i) AS s2, least(s3, {_edit("least(n2, n3i)", "2", "I")}) AS s3
+  FROM (SELECT *, least(s2, {_edit("s0", "2", "I")}, {_edit("s1", "2", "I")}) AS n2, {_edit("s3", "2", "I")} AS n3i FROM
+    (SELECT a.conv_id, r.i, {_edit("s0", "3", "D")} AS s0, least({_edit("s1", "3", "D")}, CASE WHEN stays AND initial = 's' THEN {_edit("s0", "extra", "K")} END) AS s1,
+       least({_edit("s2", "3", "D")}, {_turned("s0", "u")}, {_turned("s1", "u")}, {_turned("s3", "u")}) AS s2, least({_edit("s3", "3", "D")}, {_turned("s2", "a")}) AS s3
+     FROM a JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.i + 1))),
+b AS (SELECT conv_id, least(arg_max(s0, i), arg_max(s3, i)) AS best FROM a GROUP BY conv_id),
+l AS (SELECT conv_id, substr(best, 7) AS audit, unnest(range(7, length(best) + 1)) - 6 AS p FROM b),
+g AS (SELECT *, audit[p] AS edit, length(regexp_replace(left(audit, p), 'I', '', 'g')) AS i, length(regexp_replace(left(audit, p), 'D', '', 'g')) AS place FROM l),
+y AS (SELECT g.conv_id, g.p, g.edit, g.place, r.role, r.text, max(CASE WHEN g.place = 1 AND g.edit = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g.conv_id) AS led
+      FROM g LEFT JOIN r ON g.edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.i WHERE g.edit <> 'D'),
+z AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired FROM y GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM b LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
 _OP13 = r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
@@ -181,4 +224,4 @@ SELECT * FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_ranked_search": _OP13, "op1_html_extraction": _OP1, "op2_line_dedup": _OP2, "op4_warc": _OP4, "op7_minhash_near_dedup": _OP7, "op9_quality_rules": _OP9}
+    return {"op11_conversation_repair": _OP11, "op13_ranked_search": _OP13, "op1_html_extraction": _OP1, "op2_line_dedup": _OP2, "op4_warc": _OP4, "op7_minhash_near_dedup": _OP7, "op9_quality_rules": _OP9}
