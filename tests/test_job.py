@@ -27,10 +27,10 @@ def place(tmp_path_factory):
     items = [("a", "BinData/a.png", with_exif), ("b", "BinData/b.png", small(3)), ("c", "BinData/c.png", B.png(B.noise(400, 300, 77)))]
     docs = root / "docs"
     docs.mkdir()
-    (docs / "대전_001 조사.hwpx").write_bytes(B.hwpx([body], items))
+    (docs / "서원_104 기록.hwpx").write_bytes(B.hwpx([body], items))
     (docs / "bad.hwp").write_bytes(b"nothing")
     (docs / "~lock.hwpx").write_bytes(b"")
-    (root / "out" / "대전_001 조사").mkdir(parents=True)
+    (root / "out" / "서원_104 기록").mkdir(parents=True)
     return root
 
 
@@ -61,7 +61,7 @@ def test_index_reads_only_what_changed(spark, tmp_path):
 
 def test_dry_run_places_nothing(spark, place):
     result = job.run(spark, config(place, dry_run=True, cache=str(place / "cache")))
-    assert result.ok and result.photos == 3 and not list((place / "out" / "대전_001 조사").iterdir())
+    assert result.ok and result.photos == 3 and not list((place / "out" / "서원_104 기록").iterdir())
 
 
 def test_job_and_corrections(spark, place):
@@ -69,7 +69,7 @@ def test_job_and_corrections(spark, place):
     assert result.ok, result.error
     assert (result.documents, result.photos, result.candidates, result.skipped) == (1, 3, 7, ["bad.hwp"])
     assert result.counts == {S.CERTAIN: 2, S.REVIEW: 0, S.NOT_FOUND: 1} and result.lowres_used == 1
-    folder = place / "out" / "대전_001 조사"
+    folder = place / "out" / "서원_104 기록"
     assert sorted(p.name for p in folder.iterdir()) == ["근경.png", "유물.png", "전경.png"]
     assert (folder / "전경.png").read_bytes() == (place / "photos" / "P0.png").read_bytes()
     assert (folder / "근경.png").read_bytes() == (place / "photos" / "P3.png").read_bytes()
@@ -81,7 +81,7 @@ def test_job_and_corrections(spark, place):
     state = json.load(open(result.state_path, encoding="utf-8"))
     assert [p["이름"] for p in state["documents"][0]["사진"]] == ["전경", "근경", "유물"]
     fixes = place / "fixes.csv"
-    doc = "대전_001 조사.hwpx"
+    doc = "서원_104 기록.hwpx"
     lines = [f"{doc},유물,{place}/photos/P5.png", f"{doc},전경,", f"{doc},없는것,", f"{doc},근경,/no/such.png"]
     fixes.write_text("﻿한글파일,사진이름,가져올파일\n" + "\n".join(lines) + "\n", encoding="utf-8")
     done = {r["name"]: r.skipped for r in job.apply_corrections(spark, str(fixes), result.state_path).collect()}
