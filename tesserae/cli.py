@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if command == "apply":
         rows = job.apply_corrections(spark, args["csv"], args["state"], args["dry_run"]).collect()
         failed = sum(bool(r.skipped) for r in rows)
-        print(f"{len(rows) - failed}건을 고쳐 넣었습니다." + (f" ({failed}건 실패)" if failed else ""))
+        print(f"바꾼 사진 {len(rows) - failed}, 바꾸지 못한 사진 {failed}")
         return 0
     result = job.run(spark, job.Config(**args), say=lambda text: print(text, file=sys.stderr))
     print(f"확실 {result.counts['확실']} · 확인필요 {result.counts['확인필요']} · 못찾음 {result.counts['못찾음']} · {duration(result.elapsed)}")

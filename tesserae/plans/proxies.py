@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -301,9 +302,10 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SNAPSHOTS} SELECT count(*) FILTER (WHERE state <> 'gone') AS total, count(*) FILTER (WHERE state IN ('new', 'changed')) AS new_read,
-count(*) FILTER (WHERE state = 'same') AS reused, count(*) FILTER (WHERE state = 'gone') AS gone, count(*) FILTER (WHERE state = 'new') AS failed, CAST(0 AS BIGINT) AS thumbed FROM d""")
+count(*) FILTER (WHERE state = 'same') AS reused, count(*) FILTER (WHERE state = 'gone') AS gone, count(*) FILTER (WHERE state = 'new') AS failed,
+count(*) FILTER (WHERE state IN ('new', 'changed') AND o_orderkey % 3 = 0) AS thumbed FROM d""")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.refresh_stats(_snapshots(spark, sf_dir), failed=F.col("state") == "new")
+    return R.refresh_stats(_snapshots(spark, sf_dir), failed=F.col("state") == "new", thumbed=F.col("state").isin("new", "changed") & (F.col("o_orderkey") % 3 == 0))
 
 
 @query("""SELECT sha1(n || substr(t, 1, 65536)) AS head_sha1, doc_id FROM (SELECT doc_id, text AS t, octet_length(encode(text)) AS n FROM documents)""")
@@ -368,6 +370,69 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, role, CASE turn % 5 WHEN 0 THEN '3. ' WHEN 1 THEN '사진 7: ' WHEN 2 THEN ' (②) ' WHEN 3 THEN '〈도면 12〉 ' ELSE '' END || text AS t FROM conversations),
+f AS (SELECT conv_id, turn, role, trim(regexp_replace(nfc_normalize(t), '[ \t\n\x0B\f\r　]+', ' ', 'g')) AS t FROM t)
+SELECT conv_id, turn, role, trim(regexp_replace(t, '^\s*[<\[(【〈]?\s*(?:사진|그림|도면)\s*[0-9①-⑳]+\s*[.)\]>》】]?[\s:·]+|^\s*[<\[(【〈]\s*[0-9①-⑳]+\s*[)\]>》】]\s*|^\s*[0-9]+\s*[.)\]>》】]\s*|^\s*[①-⑳]+\s*[.)\]>》】]?\s*', '')) AS caption FROM f""")
+def cleaned_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts under five kinds of numbers, which go."""
+    marks = F.array(*map(F.lit, ("3. ", "사진 7: ", " (②) ", "〈도면 12〉 ", "")))
+    text = F.concat(F.get(marks, (F.col("turn") % 5).cast("int")), "text")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.clean_caption(text, True).alias("caption"))
+
+
+_SAFE = r"""rtrim(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '[\n\t]', ' ', 'g'), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\s+', ' ', 'g')), '. ')"""
+
+
+@query(f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'aux.' || p_brand WHEN 1 THEN ' <' || p_name || '>: ' || p_type || '. . ' WHEN 2 THEN p_type || chr(10) || chr(9) || p_name || '/?*' WHEN 3 THEN '...' WHEN 4 THEN 'Com' || p_size % 12 ELSE p_name END AS t FROM part),
+s AS (SELECT p_partkey, {_SAFE.format("t")} AS s FROM t)
+SELECT p_partkey, CASE WHEN s = '' THEN '이름없음' WHEN regexp_matches(s, '^(?i:con|prn|aux|nul|com[1-9]|lpt[1-9])($|[.])') THEN '_' || s ELSE s END AS name FROM s""")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names from parts, with letters and names that systems don't take."""
+    key, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    raw = (
+        F.when(key % 6 == 0, F.concat(F.lit("aux."), "p_brand")).when(key % 6 == 1, F.concat(F.lit(" <"), name, F.lit(">: "), kind, F.lit(". . ")))
+        .when(key % 6 == 2, F.concat(kind, F.lit("\n\t"), name, F.lit("/?*"))).when(key % 6 == 3, "...").when(key % 6 == 4, F.concat(F.lit("Com"), (F.col("p_size") % 12).cast("string"))).otherwise(name)
+    )
+    return _table(spark, sf_dir, "part").select("p_partkey", T.sanitize(raw).alias("name"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, regexp_replace({_SAFE.format("p_brand")} || ' - ' || '' || '_' || {_SAFE.format("p_name || '?'")} || ' (' || p_size || ') -', '([ _-])[ _-]+', '\\1', 'g') AS t FROM part)
+SELECT p_partkey, {_SAFE.format("trim(t, ' _-')")} AS name FROM t""")
+def template_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from a template: an unknown one is nothing, and doubled separators become one."""
+    values = F.create_map(F.lit("구역"), "p_brand", F.lit("이름"), F.concat("p_name", F.lit("?")), F.lit("번호"), F.col("p_size").cast("string"))
+    return _table(spark, sf_dir, "part").select("p_partkey", T.apply_template("{구역} - {없음}_{이름} ({번호}) -", values).alias("name"))
+
+
+@query("""WITH s AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) * CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 3000000 END AS n FROM pages)
+SELECT page_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KB', n / 1024.0) WHEN n < 1073741824 THEN format('{:.1f}MB', n / 1048576.0) ELSE format('{:.1f}GB', n / 1073741824.0) END AS size,
+replace(replace(replace(replace(replace(url || '?a=<b>&"c"' || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM s""")
+def sizes_and_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes for people, and addresses as they stand in a page."""
+    n = F.octet_length(F.coalesce("html", F.lit(""))) * F.when(F.col("page_id") % 3 == 0, 1).when(F.col("page_id") % 3 == 1, 1_000).otherwise(3_000_000).cast("long")
+    return _table(spark, sf_dir, "pages").select("page_id", T.human_size(n).alias("size"), T.html_escape(F.concat("url", F.lit("?a=<b>&\"c\"'"))).alias("escaped"))
+
+
+@query(r"""WITH e AS (SELECT '/out/' || c_nationkey || '/' || c_mktsegment || c_custkey % 7 || CASE c_custkey % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '' END AS target FROM customer),
+p AS (SELECT '/out/' || s_nationkey || '/' || CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'building' END || s_suppkey % 7 || '.jpg' AS target, s_suppkey % 5 = 0 AS original, '/out/' || s_nationkey || '/MACHINERY' || s_suppkey % 7 || '.PNG' AS source FROM supplier),
+k AS (SELECT *, regexp_replace(target, '/[^/]*$', '') AS dir, regexp_replace(lower(regexp_extract(target, '[^/]*$')), '(.)[.][^.]*$', '\1') AS stem FROM e),
+q AS (SELECT DISTINCT regexp_replace(target, '/[^/]*$', '') AS dir, regexp_replace(lower(regexp_extract(target, '[^/]*$')), '(.)[.][^.]*$', '\1') AS stem FROM p)
+SELECT DISTINCT target FROM k JOIN q USING (dir, stem) WHERE target NOT IN (SELECT target FROM p) AND target NOT IN (SELECT source FROM p WHERE original)""")
+def stale_placed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of customers that a plan of suppliers' names takes away: same folder and stem, another suffix or case."""
+    from tesserae.plans.placement import stale_files
+
+    c, folder = F.col, lambda nation: F.concat(F.lit("/out/"), F.col(nation).cast("string"), F.lit("/"))
+    ends = F.when(c("c_custkey") % 3 == 0, ".jpg").when(c("c_custkey") % 3 == 1, ".PNG").otherwise("")
+    there = _table(spark, sf_dir, "customer").select(F.concat(folder("c_nationkey"), "c_mktsegment", (c("c_custkey") % 7).cast("string"), ends).alias("target"))
+    number = (c("s_suppkey") % 7).cast("string")
+    planned = _table(spark, sf_dir, "supplier").select(
+        F.concat(folder("s_nationkey"), F.when(c("s_suppkey") % 2 == 0, "BUILDING").otherwise("building"), number, F.lit(".jpg")).alias("target"),
+        (c("s_suppkey") % 5 == 0).alias("original"), F.concat(folder("s_nationkey"), F.lit("MACHINERY"), number, F.lit(".PNG")).alias("source"),
+    )
+    return stale_files(planned, there).distinct()
+
+
 # --------------------------------------------------------------------------- lookups, bands, neighbours, plans
 
 
@@ -670,25 +735,28 @@ def _le(value: Column, n: int) -> Column:
     return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(n)])
 
 
-@query("""SELECT doc_id, len(l) AS n_records, list_sum(list_transform(l, lambda x: strlen(x))) AS n_bytes, CAST(max_level AS INT) AS max_level
-FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: left(x, 2000)) AS l, least(len(string_split(text, chr(10))) - 1, 9) AS max_level FROM documents)""")
+@query("""SELECT doc_id, len(l) AS n_records, list_sum(list_transform(l, lambda x: strlen(x))) AS n_bytes, CAST(least(len(l) - 1, 9) AS INT) AS max_level, sha256(array_to_string(l, '')) AS payload_sha256
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)""")
 def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line (its first 2,000 letters, as records with 12-bit and with long sizes need) is a record of a level; the streams are scanned."""
+    """Every line is a record of a level, with a 12-bit or a long size; the streams are scanned."""
     from tesserae.sources import hwp5
 
-    lines = F.transform(F.split("text", "\n"), lambda x: F.encode(F.left(x, F.lit(2000)), "UTF-8"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.encode(x, "UTF-8"))
     level = lambda i: F.least(i, F.lit(9))
     size = lambda x: F.length(x)
     head = lambda x, i: F.lit(66) + F.shiftleft(level(i).cast("long"), 10) + F.shiftleft(F.least(size(x), F.lit(0xFFF)).cast("long"), 20)
     record = lambda x, i: F.concat(_le(head(x, i), 4), F.when(size(x) >= 0xFFF, _le(size(x), 4)).otherwise(F.lit(b"")), x)
     stream = F.aggregate(F.transform(lines, record), F.lit(b""), lambda a, x: F.concat(a, x))
 
-    @F.pandas_udf("n_records long, n_bytes long, max_level int")
+    @F.pandas_udf("n_records long, n_bytes long, max_level int, payload_sha256 string")
     def scan(data: pd.Series) -> pd.DataFrame:
         found = [list(hwp5.records(x, strict=True)) for x in data]
-        return pd.DataFrame({"n_records": [len(f) for f in found], "n_bytes": [sum(len(r.payload) for r in f) for f in found], "max_level": [max(r.level for r in f) for f in found]})
+        whole = [b"".join(r.payload for r in f) for f in found]
+        levels, sums = [max(r.level for r in f) for f in found], [hashlib.sha256(x).hexdigest() for x in whole]
+        return pd.DataFrame({"n_records": [len(f) for f in found], "n_bytes": [len(x) for x in whole], "max_level": levels, "payload_sha256": sums})
 
-    return _table(spark, sf_dir, "documents").select("doc_id", scan(stream).alias("r")).select("doc_id", "r.*")
+    docs = _table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", scan(stream).alias("r")).select("doc_id", "r.*")
 
 
 @query("""SELECT conv_id, turn, regexp_replace(text, '[\x00-\x1F]', ' ', 'g') || chr(9) || 'x' || chr(10) AS text FROM conversations""")
