@@ -51,11 +51,21 @@ def tiered_key_join(queries: DataFrame, index: DataFrame, query_id: str, index_i
     return hits.groupBy(query_id, index_id).agg(F.min("tier").alias("tier"), F.min("name").alias("name"))
 
 
+def key_join(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """rows with every index row of an equal key. A key that more than HOT_ROWS index rows have is joined in parts by a hash of those rows."""
+    sizes = index.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = sizes.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts"))  # one key in HOT_ROWS rows at most
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = index.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*index.columns), parts).cast("int")).drop("_parts")
+    asked = rows.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return asked.join(dealt, [key, "_part"]).drop("_part")
+
+
 def name_then_stem_join(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, name: str, stem: str) -> DataFrame:
     """Index rows of equal name, or, for queries that have none, of equal stem. Both sides have both keys."""
-    exact = queries.select(query_id, name).join(index.select(index_id, name), name).select(query_id, index_id)
+    exact = key_join(queries.select(query_id, name), index.select(index_id, name), name).select(query_id, index_id)
     rest = queries.join(exact.select(query_id).distinct(), query_id, "left_anti")
-    by_stem = rest.select(query_id, stem).join(index.select(index_id, stem), stem).select(query_id, index_id)
+    by_stem = key_join(rest.select(query_id, stem), index.select(index_id, stem), stem).select(query_id, index_id)
     return exact.withColumn("by", F.lit("name")).union(by_stem.withColumn("by", F.lit("stem")))
 
 

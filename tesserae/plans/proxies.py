@@ -216,7 +216,7 @@ def candidate_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.concat_ws("|", "user_id", "event_type").alias("a"), F.concat_ws("|", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("b")
     )
     q, x = e.filter("event_id % 100 = 0").withColumnRenamed("event_id", "query_id"), e
-    hit = lambda k: q.select("query_id", k).join(x.select("event_id", k), k)
+    hit = lambda k: J.key_join(q.select("query_id", k), x.select("event_id", k), k)
     return J.candidate_union("query_id", "event_id", key=hit("a"), day=hit("b"))
 
 

@@ -164,6 +164,14 @@ def test_weaker_tiers_are_not_joined(spark, monkeypatch):
     assert other == {(i, y) for i, y, *_ in hits if i != y}
 
 
+def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT_ROWS", 7)
+    rows = [(n, k) for n, k in enumerate(["hot", "hot", "cold", None, "none"])]
+    index = [(n, "hot") for n in range(50)] + [(50, "cold"), (51, None), (50, "cold")]
+    got = J.key_join(spark.createDataFrame(rows, "q int, k string"), spark.createDataFrame(index, "i int, k string"), "k").select("q", "i").collect()
+    assert sorted(map(tuple, got)) == sorted((q, i) for q, k in rows for i, x in index if k is not None and k == x)
+
+
 def test_interval_join_as_brute_force(spark):
     rnd = np.random.RandomState(3)
     inf = float("inf")
