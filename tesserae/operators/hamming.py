@@ -27,7 +27,7 @@ from tesserae.operators.stages import written
 #: Keys of one band in one round, at most; the share of the index that rounds may weigh.
 MOST_KEYS = 5_000
 MOST_WEIGHED = 0.3
-FIRST_KEYS = 256  # of one band in the first round, which takes the small radii together
+FIRST_KEYS = 1_024  # of one band in the first round, which takes the small radii together
 #: Queries and index rows of one cogroup, about.
 QUERY_BLOCK, ROW_BLOCK = 1_024, 16_384
 
