@@ -128,7 +128,7 @@ def _by_bands(asked: DataFrame, rows: DataFrame, k: int, bands: Bands, shape: st
         flips = F.expr(f"array({', '.join(f'{x}L' for x in masks)})")  # MOST_KEYS numbers, about
         probes = open_.select("*", F.posexplode(bands.keys(F.col("w"))).alias("band", "own")).filter("band < ask")
         probes = probes.select("q", "v", "w", "band", F.explode(F.transform(flips, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
-        met = probes.join(keyed, ["band", "key"])
+        met = probes.hint("merge").join(keyed, ["band", "key"])  # keys are many times the rows that Spark sizes them by
         hits = met.filter(far <= bound).select("q", "i", far.alias("distance"), "v")  # what lies beyond is no result of a round
         if done is not None:
             done["banded"] += met.count()
