@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.workers import reachable
+
 #: ASCII white space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -21,7 +23,11 @@ _fallback_dir: list[str] = []
 
 
 def for_texts(spark: SparkSession) -> SparkSession:
-    """The session, set to Arrow batches of BATCH_ROWS rows at most: what a task holds of long texts stays small on both sides."""
+    """The session, set to Arrow batches of BATCH_ROWS rows at most: what a task holds of long texts stays small on both sides.
+
+    Its workers can import the package from then on, so a stage of the pipeline needs no preparation by its caller.
+    """
+    reachable(spark)
     if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     return spark
