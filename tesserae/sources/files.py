@@ -69,10 +69,10 @@ def is_image(content: Column) -> Column:
     return found
 
 
-def head_sha1(content: Column, size: Column | None = None) -> Column:
-    """SHA-1 of the size in decimal, then of the first 64 KiB."""
+def head_sha1(content: Column, size: Column | None = None, cut: bool = True) -> Column:
+    """SHA-1 of the size in decimal, then of the first 64 KiB. cut=False: content is the head already, however long its encoding is."""
     n = (F.length(content) if size is None else size).cast("string")
-    return F.sha1(F.concat(n.cast("binary"), F.substring(content, 1, HEAD_BYTES)))
+    return F.sha1(F.concat(n.cast("binary"), F.substring(content, 1, HEAD_BYTES) if cut else content))
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
