@@ -158,8 +158,16 @@ def name_ratio(names: pd.Series, wanted: pd.Series) -> pd.Series:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
-    unit = lambda k: F.format_string("%.1f", n / float(1 << k))
+    """Bytes as B, KB, MB or GB, with one digit; of two equally near digits the even one."""
+
+    def unit(k: int) -> Column:
+        rest = n.bitwiseAND(F.lit((1 << k) - 1)) * 10  # a tenth is 1 << k of it
+        tenths, over = F.shiftright(n, k) * 10 + F.shiftright(rest, k), rest.bitwiseAND(F.lit((1 << k) - 1))
+        up = (over > 1 << k - 1) | (over == 1 << k - 1) & (tenths % 2 == 1)
+        tenths = tenths + up.cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    n = n.cast("long")
     return (
         F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit("B")))
         .when(n < 1 << 20, F.concat(unit(10), F.lit("KB")))
