@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.stages import written
 
+ROUNDS = 6  # of claims, from one dealing out and writing to the next
+
 
 def best_pairs(pairs: DataFrame, left: list[str], right: list[str], order: list[Column], shared: str | None = None) -> DataFrame:
     """The pairs that going through them in order would take, each left and each right side once.
@@ -36,17 +38,20 @@ def settle(claims: DataFrame, group: list[str], claimant: str, choices: str, riv
 
     choices: an array of structs in the order of preference, of which ``rival`` names what is claimed and ``score`` ranks those who claim it;
     of equal scores the smaller claimant keeps it. Who is outranked claims the next choice, and may outrank another there; rounds end when
-    everybody holds something else, or has no choice left. Only groups where somebody had to move go into the next round.
+    everybody holds something else, or has no choice left. Groups are dealt out once for ROUNDS rounds, whose windows all keep to that, and written after
+    the last of them; only groups where somebody had to move in it go on.
     """
     now = F.get(choices, F.col("_at"))
     order = [now[score].desc_nulls_last(), F.col(claimant)]
     here = Window.partitionBy(*group, "_claimed")
     rest, done = claims.withColumn("_at", F.lit(0)), None
     while True:
-        rows = rest.withColumn("_claimed", now[rival])
-        rows = rows.withColumn("_lost", F.col("_claimed").isNotNull() & (F.row_number().over(here.orderBy(*order)) > 1))
-        rows = rows.withColumn("_open", F.max("_lost").over(Window.partitionBy(*group)))
-        rows = written(rows.withColumn("_at", F.col("_at") + F.col("_lost").cast("int")).drop("_claimed", "_lost"), "claims")
+        rows = rest.repartition(*group)
+        for _ in range(ROUNDS):
+            rows = rows.withColumn("_claimed", now[rival])
+            rows = rows.withColumn("_lost", F.col("_claimed").isNotNull() & (F.row_number().over(here.orderBy(*order)) > 1))
+            rows = rows.withColumn("_at", F.col("_at") + F.col("_lost").cast("int")).drop("_claimed")
+        rows = written(rows.withColumn("_open", F.max("_lost").over(Window.partitionBy(*group))).drop("_lost"), "claims")
         settled = rows.filter("not _open").drop("_open")
         done = settled if done is None else done.unionByName(settled)
         rest = rows.filter("_open").drop("_open")
