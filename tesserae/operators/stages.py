@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
 
@@ -23,3 +23,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def compiled(spark: SparkSession) -> SparkSession:
+    """The session, set so that no step becomes one Java method of more than 8,000 bytes of code, which Java would interpret and never compile."""
+    setting = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(setting, min(8_000, int(spark.conf.get(setting, "8000"))))
+    return spark
