@@ -6,11 +6,15 @@ scripts and styles never count, nor do elements whose names say that they are no
 page marks its article (``article``, else ``main``), the blocks inside are its text, and only suspect ones are open; on
 a page without a mark all blocks are open.
 
-Open blocks are decided by a host suffix array. The token streams of the host's pages with open blocks are laid end
-to end and their suffixes ordered by their first ``RUN`` tokens. Tokens inside a substring of ``RUN`` tokens or more that
-distinct pages share are exactly those in a group of equal prefixes with several streams (a longer repeat is a chain
-of them), so Spark holds the order as such groups: hashed prefixes, aggregated and combined before they are shuffled, so
-that no host is gathered in a task. A block that repeats cover to ``COVERED`` goes, and the unique runs stay.
+Repeats are found by a host suffix array. The token streams of all the host's pages, marked or not, are laid end to end
+and their suffixes ordered by their first ``RUN`` tokens; neighbours in that order which agree in them and come from distinct
+pages are repeats (a longer one is a chain of them). They decide the open blocks: one that repeats cover to ``COVERED`` goes,
+and the unique runs stay. A mark outweighs repeats: plain blocks inside one stay, and only count for other pages of the host.
+
+The order is that of 64-bit hashes of the ``RUN`` tokens. A host of more than ``HOST_BYTES`` of html is cut into
+ranges of the hash, so that none is gathered in a task; a task orders a range by the 48 bits below, and two prefixes are
+taken for one with a chance of about 1e-8. A batch of pages sends a row for each range, with the pages' hashes packed. Only pages with open
+blocks get their repeats back; the others are never shuffled. Pages are parsed twice, which takes less than keeping their texts.
 
 A copied article repeats as boilerplate does, but on fewer pages than what surrounds it. So a repeat counts only if
 more pages share it than share the rarest ``OWN`` of the page's tokens. Pages with equal streams count as one.
@@ -28,13 +32,17 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import staged, text_of
+from tesserae.llm.common import slices, staged, text_of
 
 RUN, COVERED, OWN = 6, 0.8, 0.1
+HOST_BYTES = 1 << 25  # html of a host's pages that one range holds; about 4 million tokens
+KEY_BYTES, MULTIPLIER = 6, 0x9E3779B97F4A7C1B
 
 # Fixed values of HTML, and words by which pages name what is not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,11 +239,54 @@ def host_of(url: str) -> str:
     return url.partition("://")[2].partition("/")[0].partition("?")[0].rpartition("@")[2].lower()
 
 
+def _digest(parts: list[str]) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest("\n".join(parts))).view("i8"))
+
+
+def _prefixes(streams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first RUN tokens of all suffixes that are so long, and how many each stream has. One space between tokens."""
+    lists = pc.split_pattern(pa.array(streams, pa.string()), " ")
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
+    coded = lists.flatten().dictionary_encode()
+    token = np.array([xxhash.xxh3_64_intdigest(t) for t in coded.dictionary.to_pylist()], "u8")[coded.indices.to_numpy(zero_copy_only=False)]
+    per = np.maximum(n - RUN + 1, 0)
+    at = np.arange(int(per.sum())) + np.repeat(np.cumsum(n) - n - (np.cumsum(per) - per), per)
+    x = np.zeros(len(at), "u8")
+    for k in range(RUN):
+        x = x * np.uint64(MULTIPLIER) + token[at + k]
+    x = (x ^ x >> np.uint64(31)) * np.uint64(MULTIPLIER)  # the multiplier mixes upwards only
+    return x ^ x >> np.uint64(29), per
+
+
 def _stream(parts: list[str]) -> tuple[list[int], int]:
-    """Prefix hash of each suffix of RUN tokens or more (of the whole stream if it is shorter), and the stream's hash."""
-    tokens = [t for p in parts for t in p.split()]
-    prefix = [xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + RUN])) for i in range(max(1, len(tokens) - RUN + 1))] if tokens else []
-    return np.array(prefix, "u8").view("i8").tolist(), int(np.uint64(xxhash.xxh3_64_intdigest("\n".join(parts))).view("i8"))
+    """Prefix hash of each suffix of RUN tokens or more, and the stream's hash."""
+    return _prefixes([" ".join(parts)])[0].view("i8").tolist(), _digest(parts)
+
+
+def _digest(parts: list[str]) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest("\n".join(parts))).view("i8"))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(keys: bytes) -> np.ndarray:
+    out = np.zeros((len(keys) // KEY_BYTES, 8), "u1")
+    out[:, :KEY_BYTES] = np.frombuffer(keys, "u1").reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+def suffix_order(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order of their prefixes and pages, once for each page, and how many pages have each one's prefix."""
+    order = np.lexsort((owner, keys))
+    key, page = keys[order], owner[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = key[1:] != key[:-1]
+    fresh = begins.copy()
+    fresh[1:] |= page[1:] != page[:-1]
+    group = np.cumsum(begins) - 1
+    return order[fresh], np.bincount(group, fresh).astype("i8")[group[fresh]]
 
 
 def keep_unique(parts: list[str], repeated: Iterable[int], may_go: list[bool] | None = None) -> list[str]:
@@ -258,43 +309,125 @@ def boilerplate(n_tokens: int, shared: dict[int, int]) -> list[int]:
     return [i for i, k in shared.items() if k > own]
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page."""
-    kind = pages.schema["page_id"].dataType.simpleString()
+def _settled(parts: list[str], may_go: list[bool], found: list | None) -> str:
+    """The page's text. found: keys that several pages have, and how many have them, by range."""
+    if not found:
+        return " ".join(parts)
+    pages = {k: n for f in found for k, n in zip(_unpacked(f["keys"]).tolist(), np.frombuffer(f["pages"], "<u4").tolist(), strict=True)}
+    keys = _unpacked(_packed(_prefixes([" ".join(parts)])[0])).tolist()
+    shared = {i: pages[k] for i, k in enumerate(keys) if k in pages}
+    return " ".join(keep_unique(parts, boilerplate(sum(len(p.split()) for p in parts), shared), may_go))
+
+
+def _ranges(pages: DataFrame) -> dict[str, int]:
+    """Ranges of hosts that have several: no more hosts than the corpus has times HOST_BYTES."""
 
-    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sizes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["h"], strict=True):
+            yield pdf.assign(host=[host_of(u) for u in pdf["url"]]).groupby("host", as_index=False)["n"].sum()
+
+    rows = pages.filter("url is not null and html is not null").select("url", F.octet_length("html").cast("long").alias("n"))
+    found = rows.mapInPandas(sizes, "host string, n long").groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") > HOST_BYTES)
+    return {r.host: min(-(-r.n // HOST_BYTES), 1 << 16) for r in found.collect()}
+
+
+def _repeats(pages: DataFrame) -> DataFrame:
+    """Keys that several pages of a host have, and how many have them, for streams (host, own) with open blocks. pages: url, h."""
+    ranges = pages.sparkSession.sparkContext.broadcast(_ranges(pages.withColumnRenamed("h", "html")))
+
+    def suffixes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches, 1000):
+            streams: dict[tuple[str, int], tuple[str, bool]] = {}
+            for url, html in zip(pdf["url"], pdf["h"], strict=True):
                 marked, found = page_blocks(html)
                 parts = [t for t, _ in found]
-                may_go = [suspect or not marked for _, suspect in found]
-                if url is None or not any(may_go):
-                    out.append((page_id, url, " ".join(parts), None, None, None, None, None))
-                    continue
-                prefix, own = _stream(parts)
-                out.append((page_id, url, None, parts, may_go, host_of(url), prefix, own))
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "parts", "may_go", "host", "prefix", "own"]).astype({"page_id": object, "own": object})
+                if parts:
+                    key = host_of(url), _digest(parts)
+                    is_open = not marked or any(suspect for _, suspect in found)
+                    streams[key] = " ".join(parts), is_open or key in streams and streams[key][1]
+            if not streams:
+                continue
+            keys, per = _prefixes([text for text, _ in streams.values()])
+            hosts, host = np.unique(np.array([h for h, _ in streams], object), return_inverse=True)
+            own, is_open = np.array([o for _, o in streams], "i8"), np.array([o for _, o in streams.values()])
+            page = np.repeat(np.arange(len(per)), per)
+            dealt = np.array([ranges.value.get(h, 1) for h in hosts], "u8")
+            part = (keys >> np.uint64(48)) * dealt[host[page]] >> np.uint64(16)
+            target = host[page] << 16 | part.astype("i8")
+            order = np.argsort(target, kind="stable")  # pages stay in order
+            target, page = target[order], page[order]
+            out = []
+            for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(target)) + 1) if len(order) else []:
+                p, n = np.unique(page[at], return_counts=True)
+                out.append((hosts[target[at[0]] >> 16], int(target[at[0]] & 0xFFFF), own[p].astype("<i8").tobytes(), is_open[p].tobytes(), n.astype("<u4").tobytes(), _packed(keys[order[at]])))
+            yield pd.DataFrame(out, columns=["host", "part", "own", "open", "n", "keys"])
+
+    def ordered(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = [], None
+        for pdf in batches:
+            for host, part, *row in zip(*(pdf[c] for c in ("host", "part", "own", "open", "n", "keys")), strict=True):
+                if held and (host, part) != last:
+                    yield _shared(last[0], held)
+                    held = []
+                held.append(row)
+                last = host, part
+        if held:
+            yield _shared(last[0], held)
+
+    rows = pages.filter("url is not null").mapInPandas(suffixes, "host string, part int, own binary, open binary, n binary, keys binary")
+    dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part")
+    return staged(dealt.mapInPandas(ordered, "host string, own long, keys binary, pages binary"), "repeats")
+
+
+def _shared(host: str, rows: list[list[bytes]]) -> pd.DataFrame:
+    """What several pages have in one range of a host's suffix array, by page with open blocks."""
+    own, is_open, n, keys = (b"".join(x) for x in zip(*rows, strict=True))
+    owns, page = np.unique(np.frombuffer(own, "<i8"), return_inverse=True)
+    asks = np.zeros(len(owns), bool)
+    asks[page[np.frombuffer(is_open, "?")]] = True
+    keys, owner = _unpacked(keys), np.repeat(page, np.frombuffer(n, "<u4"))
+    order, pages = suffix_order(keys, owner)
+    back = (pages > 1) & asks[owner[order]]
+    order, pages = order[back], pages[back]
+    by_page = np.argsort(owner[order], kind="stable")
+    order, pages = order[by_page], pages[by_page]
+    cuts = np.split(np.arange(len(order)), np.flatnonzero(np.diff(owner[order])) + 1) if len(order) else []
+    found = [(host, int(owns[owner[order[c[0]]]]), _packed(keys[order[c]]), pages[c].astype("<u4").tobytes()) for c in cuts]
+    return pd.DataFrame(found, columns=["host", "own", "keys", "pages"])
 
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text of every page."""
+    kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", text_of(pages, "html").alias("h"))
-    shape = f"page_id {kind}, url string, text string, parts array<string>, may_go array<boolean>, host string, prefix array<long>, own long"
-    parsed = staged(rows.mapInPandas(parse, shape), "pages")
-    suffixes = parsed.filter("parts is not null").select("host", "own", F.posexplode("prefix").alias("i", "x"))
-    runs = suffixes.select("host", "x", "own").distinct().groupBy("host", "x").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
-    shared = suffixes.distinct().join(runs, ["host", "x"]).groupBy("host", "own").agg(F.collect_list(F.struct("i", "n")).alias("shared"))  # a stream's own places
+    repeats = _repeats(rows.select("url", "h"))
+    none = repeats.isEmpty()  # no open block has a repeat: every one stays
+
+    def parsed(are_open: bool, shape: str) -> DataFrame:
+        """Pages that wait for repeats, or all others with their text."""
+
+        def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["h"], strict=True):
+                    marked, found = page_blocks(html)
+                    parts, may_go = [t for t, _ in found], [suspect or not marked for _, suspect in found]
+                    if (not none and url is not None and any(may_go)) == are_open:
+                        out.append((page_id, url, host_of(url), _digest(parts), parts, may_go) if are_open else (page_id, url, " ".join(parts)))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in shape.split(", ")]).astype({"page_id": object})
+
+        return rows.mapInPandas(parse, shape)
+
+    result = f"page_id {kind}, url string, text string"
+    settled = parsed(False, result)
+    if none:
+        return settled
 
     def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = []
-            for own, parts, may_go, found in zip(pdf["text"], pdf["parts"], pdf["may_go"], pdf["shared"], strict=True):
-                if parts is None:
-                    text.append(own)
-                    continue
-                parts = list(parts)
-                repeated = {} if found is None else {r["i"]: r["n"] for r in found}
-                text.append(" ".join(keep_unique(parts, boilerplate(sum(len(p.split()) for p in parts), repeated), list(may_go))))
-            yield pdf[["page_id", "url"]].assign(text=text)
-
-    decided = parsed.filter("parts is not null").join(shared, ["host", "own"], "left").select("page_id", "url", "text", "parts", "may_go", "shared")
-    marked = parsed.filter("parts is null").select("page_id", "url", "text")
-    return marked.unionByName(decided.mapInPandas(keep, f"page_id {kind}, url string, text string"))
+            columns = (pdf[c] for c in ("parts", "may_go", "found"))
+            yield pdf[["page_id", "url"]].assign(text=[_settled(list(parts), list(may_go), found if found is None else list(found)) for parts, may_go, found in zip(*columns, strict=True)])
+
+    found = repeats.groupBy("host", "own").agg(F.collect_list(F.struct("keys", "pages")).alias("found"))
+    waiting = parsed(True, f"page_id {kind}, url string, host string, own long, parts array<string>, may_go array<boolean>")
+    return settled.unionByName(waiting.join(found, ["host", "own"], "left").select("page_id", "url", "parts", "may_go", "found").mapInPandas(keep, result))

@@ -127,6 +127,42 @@ def test_articles_without_marks(spark):
     assert got[100].startswith(menu) and got[101].startswith(lead + " w") and note not in got[101]
 
 
+def test_suffix_order_counts_as_brute_force():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    streams = [" ".join(rnd.choice("abc") for _ in range(n)) for n in (60, 60, 5, 1, 6, 80, 40)]
+    words = [s.split() for s in streams]
+    runs = [[tuple(w[i : i + html_text.RUN]) for i in range(len(w) - html_text.RUN + 1)] for w in words]
+    keys, per = html_text._prefixes(streams)
+    owner = np.repeat(np.arange(len(per)), per)
+    order, pages = html_text.suffix_order(keys, owner)
+    flat = [x for r in runs for x in r]
+    assert per.tolist() == [len(r) for r in runs] and (np.diff(keys[order].astype("f8")) >= 0).all()
+    assert {(int(owner[i]), flat[i]): int(n) for i, n in zip(order, pages, strict=True)} == {(k, x): sum(x in r for r in runs) for k, r in enumerate(runs) for x in r}
+    assert pages.max() > 1 and len(html_text._prefixes(["", "a"])[0]) == 0
+
+
+def test_suffix_order_holds_every_page_of_the_host(spark, sf, monkeypatch):
+    """What marked pages have counts for others' open blocks. A host in many ranges gets the same result."""
+    note = "follow all our channels and never miss a story again"
+    pages = [(k, f"http://h.example/{k}", f"<article><p>story {k} alone has words{k} like{k} these{k}</p><p>{note}</p></article>") for k in range(4)]
+    pages += [(9, "http://h.example/9", f"<article><p>lead of its own that none but this has</p><div class='share-this'>{note}</div></article>")]
+    pages += [(10, "http://h.example/10?copy", pages[4][2]), (11, None, pages[4][2])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    given = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    ask = lambda x: sorted((r.page_id, r.url or "", r.text) for r in html_text.extract(x).collect())
+    got, unmarked = ask(df), ask(given)
+    text = {r[0]: r[2] for r in got}
+    assert all(text[k].endswith(note) for k in range(4))
+    assert text[9] == text[10] == "lead of its own that none but this has"
+    assert text[11] == f"lead of its own that none but this has {note}"
+    monkeypatch.setattr(html_text, "HOST_BYTES", 50)
+    assert ask(df) == got and ask(given) == unmarked
+
+
 @pytest.mark.parametrize(
     "page",
     ["<a " * 300_000 + '"', "<div>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "<div></div>" * 100_000, "<b><p>" * 50_000 + "</b>" * 100_000, "<!--" * 200_000, "<script>" * 100_000, "<p '\"" * 150_000, "<" * 10**6],
