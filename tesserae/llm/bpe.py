@@ -28,7 +28,7 @@ import tempfile
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -78,6 +78,7 @@ class Vocabulary:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self._merge = encoding.encode_ordinary
+        self.merge_many = partial(encoding.encode_to_numpy, disallowed_special=())
         #: Merges bytes that are known to be one pre-token; the general merge looks for pre-tokens first.
         self.merge_one = getattr(encoding, "_encode_single_piece", None) or (lambda piece: self._merge(piece.decode()))
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -209,7 +210,9 @@ class Encoder:
         self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(image) if image else None
         self._after_space = _Pieces(self._piece, self._word)
+        self._seen: dict[str, bytes] = {}  # words of plain texts; those with a line break are without a space
         self._newline = self._piece("\n")
+        self._lengths = np.array([len(b) for b in self.vocabulary.token_bytes], "i8")
 
     def _word(self, word: bytes) -> bytes:
         ids = self.lexicon.get(word) if self.lexicon else None
@@ -231,6 +234,37 @@ class Encoder:
     def _line_start(self, piece: str) -> bytes:
         return self._newline + self._piece(piece[1:])
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of plain texts, each with the space before it or the line break that it begins with."""
+        if self.lexicon is not None:
+            return [self._one(w) for w in words]
+        found = list(map(self._seen.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        plain = [k for k in new if words[k] and not words[k][-1].isspace()]
+        merged = self._merged([words[k] if words[k][0] == "\n" else " " + words[k] for k in plain])
+        if len(self._seen) + len(plain) > REMEMBERED:
+            self._seen.clear()
+        for k, ids in zip(plain, merged, strict=True):
+            found[k] = self._seen[words[k]] = ids
+        for k in new:
+            if found[k] is None:
+                found[k] = self._one(words[k])
+        return found
+
+    def _one(self, word: str) -> bytes:
+        return self._line_start(word) if word[:1] == "\n" else self._after_space[word]
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a space or a line break and end with neither, so that no token reaches over their ends: merged at one go."""
+        if not pieces:
+            return []
+        ids = self.vocabulary.merge_many("".join(pieces)).astype("<u4", copy=False)
+        at = np.cumsum(self._lengths[ids])  # bytes up to each id's end
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), "i8", len(pieces)))
+        stops = ((np.searchsorted(at, ends) + 1) * 4).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's ids end. No null among the texts."""
         odd = pc.match_substring_regex(texts, _WHITE + r"[ \n]|\n" + _WHITE)
@@ -245,7 +279,7 @@ class Encoder:
         coded, firsts = words.dictionary_encode(), words.take(pa.array(starts)).dictionary_encode()
         place = coded.indices.to_numpy().astype("i8")
         place[starts] = firsts.indices.to_numpy() + len(coded.dictionary)  # no space before a text's first word
-        ids = [self._line_start(w) if w[:1] == "\n" else self._after_space[w] for w in _strings(coded.dictionary)]
+        ids = self._words(_strings(coded.dictionary))
         ids += [self._line_start(w) if w[:1] == "\n" else self._piece(w) for w in _strings(firsts.dictionary)]
         out, done = _gathered(ids, place)
         if not odd.any():

@@ -416,6 +416,31 @@ def test_frequent_words_are_counted_over_all_texts(spark):
     assert bpe.frequent_words(df, 2) == ["a", "b"]
 
 
+def test_unseen_words_are_merged_at_one_go(monkeypatch):
+    """Encoding without a lexicon calls the merge a few times for many words, with the library's ids, also when its memory overflows."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(9)
+    letters = "abcdeéßж中1.,!-'\u2028\x1c\t"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9)))
+    texts = ["".join(word() + rnd.choice([" ", " ", " ", "\n", "\n\n", " \n"]) for _ in range(60)) for _ in range(100)]
+    texts += ["\n".join(" ".join(f"w{rnd.randrange(10**6)}x" for _ in range(40)) for _ in range(3)) for _ in range(20)] + ["", " ", "\n", "a\t", "x \ty z\u2028", "it's\nit's", "a <|endoftext|> b"]
+    t = Tokenizer.from_file(Q.tokenizer_path())
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for remembered in (bpe.REMEMBERED, 50):
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        encoder = bpe.Encoder(Q.tokenizer_path())
+        for batch in (texts, texts[::-1]):
+            flat, ends = encoder.encode_all(pa.array(batch))
+            got = [flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            assert got == [want[texts.index(x)] for x in batch]
+    fresh = bpe.Encoder(Q.tokenizer_path())
+    monkeypatch.setattr(fresh, "_word", lambda word: pytest.fail("a word was merged alone"))
+    fresh.encode_all(pa.array(["one tokenless zzyzxword qqyzzx\nand wordzzq, again"]))
+
+
 def test_packing(spark, sf, texts):
     import numpy as np
     from tokenizers import Tokenizer
