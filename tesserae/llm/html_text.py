@@ -277,6 +277,14 @@ def _unpacked(keys: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _in_bytes(pages: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a byte each: a page with more than 255 comes several times."""
+    times = -(-n // 255)
+    out = np.full(int(times.sum()), 255, "u1")
+    out[np.cumsum(times) - 1] = n - 255 * (times - 1)
+    return np.repeat(pages, times), out
+
+
 def suffix_order(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes in order of their prefixes and pages, once for each page, and how many pages have each one's prefix."""
     order = np.lexsort((owner, keys))
@@ -358,8 +366,8 @@ def _repeats(pages: DataFrame) -> DataFrame:
             target, page = target[order], page[order]
             out = []
             for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(target)) + 1) if len(order) else []:
-                p, n = np.unique(page[at], return_counts=True)
-                out.append((hosts[target[at[0]] >> 16], int(target[at[0]] & 0xFFFF), own[p].astype("<i8").tobytes(), is_open[p].tobytes(), n.astype("<u4").tobytes(), _packed(keys[order[at]])))
+                p, n = _in_bytes(*np.unique(page[at], return_counts=True))
+                out.append((hosts[target[at[0]] >> 16], int(target[at[0]] & 0xFFFF), own[p].astype("<i8").tobytes(), is_open[p].tobytes(), n.tobytes(), _packed(keys[order[at]])))
             yield pd.DataFrame(out, columns=["host", "part", "own", "open", "n", "keys"])
 
     def ordered(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -385,7 +393,7 @@ def _shared(host: str, rows: list[list[bytes]]) -> pd.DataFrame:
     owns, page = np.unique(np.frombuffer(own, "<i8"), return_inverse=True)
     asks = np.zeros(len(owns), bool)
     asks[page[np.frombuffer(is_open, "?")]] = True
-    keys, owner = _unpacked(keys), np.repeat(page, np.frombuffer(n, "<u4"))
+    keys, owner = _unpacked(keys), np.repeat(page, np.frombuffer(n, "u1"))
     order, pages = suffix_order(keys, owner)
     back = (pages > 1) & asks[owner[order]]
     order, pages = order[back], pages[back]
